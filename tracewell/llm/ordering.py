@@ -1,0 +1,26 @@
+"""A dense global order of rows, without a window over a whole group."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..runtime import materialise
+
+
+def globally_ordered(df: DataFrame, keys: list[str], columns: list[str], name: str) -> DataFrame:
+    """``columns`` and ``place``: 0, 1, 2 .. in the order of ``keys`` over all rows; stored.
+
+    Rows are range-partitioned on all keys, so a group that shares the first ones is split as well. Only
+    one number for each partition reaches the driver; it is broadcast again to shift the partitions' own
+    numbering, which is why the ordered rows are stored before they are numbered densely.
+    """
+    placed = materialise(df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*columns, F.monotonically_increasing_id().alias("place")), name)
+    part, row = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("part")).agg((F.max(row) + 1).alias("n")).collect()
+    starts, total = [], 0
+    for p, n in sorted((r["part"], r["n"]) for r in sizes):
+        starts.append((p, total))
+        total += n
+    shift = df.sparkSession.createDataFrame(starts, "part long, start long")
+    return placed.withColumn("part", part).join(F.broadcast(shift), "part").select(*columns, (row + F.col("start")).alias("place"))

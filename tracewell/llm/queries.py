@@ -5,13 +5,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
+from .conversations import rebuild_conversations
+from .sequences import frequent_sequences
 from .tokenize import encode_corpus
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of every whole conversation, in order."""
+    return rebuild_conversations(table(spark, folder, "transcript")).select("session_id", "pos", "uuid", "role")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists of three or four tools that at least a fifth of the sessions contain, with at most three calls between steps."""
+    return frequent_sequences(table(spark, folder, "observations"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document; no text gives an empty list."""
     return encode_corpus(table(spark, folder, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids}
+SQL: dict[str, str] = {
+    "p2_found": """
+WITH parsed AS (
+  SELECT session_id, line_no, type AS role, nullif(uuid, '') AS uuid,
+    CASE WHEN regexp_full_match(trim("timestamp"), '[0-9]{12,14}') THEN CAST(trim("timestamp") AS BIGINT) * 1000
+         ELSE epoch_us(TRY_CAST(trim("timestamp") AS TIMESTAMPTZ)) END AS us,
+    CASE WHEN json_valid(message) AND json_type(TRY_CAST(message AS JSON)) = 'OBJECT' THEN json_extract(TRY_CAST(message AS JSON), '$.content') END AS content
+  FROM transcript WHERE type IN ('user', 'assistant') AND session_id IS NOT NULL
+), facts AS (
+  SELECT *, uuid IS NULL OR content IS NULL AS damaged,
+    CASE WHEN json_type(content) = 'VARCHAR' AND regexp_matches(content ->> '$', '[^\\s]') THEN role
+         WHEN role = 'assistant' AND json_type(content) = 'ARRAY'
+              AND len([b FOR b IN CAST(content AS JSON[]) IF b ->> '$.type' = 'text' AND json_type(b, '$.text') = 'VARCHAR' AND regexp_matches(b ->> '$.text', '[^\\s]')]) > 0 THEN role END AS kind,
+    CASE WHEN json_type(content) = 'ARRAY' THEN CAST(content AS JSON[]) ELSE [] END AS blocks
+  FROM parsed
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no NULLS LAST, us NULLS LAST, uuid) AS o FROM facts
+), once AS (
+  SELECT * FROM placed QUALIFY uuid IS NULL OR row_number() OVER (PARTITION BY session_id, uuid ORDER BY o) = 1
+), used AS (
+  SELECT session_id, b ->> '$.id' AS tool_id, min(o) AS o FROM (SELECT session_id, o, unnest(blocks) AS b FROM once WHERE role = 'assistant') WHERE b ->> '$.type' = 'tool_use' GROUP BY ALL
+), answered AS (
+  SELECT session_id, b ->> '$.tool_use_id' AS tool_id, min(o) AS o FROM (SELECT session_id, o, unnest(blocks) AS b FROM once) WHERE b ->> '$.type' = 'tool_result' AND b ->> '$.tool_use_id' IS NOT NULL GROUP BY ALL
+), messages AS (
+  SELECT session_id, uuid, kind AS role, row_number() OVER w AS pos, lag(kind) OVER w AS before, lead(kind) OVER w AS after
+  FROM once WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY o)
+), bad AS (
+  SELECT session_id FROM once WHERE damaged
+  UNION SELECT a.session_id FROM answered a LEFT JOIN used u ON u.session_id = a.session_id AND u.tool_id = a.tool_id WHERE u.o IS NULL OR u.o > a.o
+  UNION SELECT session_id FROM messages WHERE pos = 1 AND role = 'assistant'
+  UNION SELECT session_id FROM messages WHERE role = 'user' AND coalesce(after, 'user') = 'user'
+)
+SELECT session_id, CAST(pos AS INTEGER) AS pos, uuid, role FROM messages WHERE session_id NOT IN (SELECT session_id FROM bad)
+""",
+    "p6_found": """
+WITH clean AS (
+  SELECT session_id, ts, lower(trim(tool_name)) AS tool, min(id) AS id FROM observations
+  WHERE trim(session_id) <> '' AND trim(tool_name) <> '' GROUP BY session_id, ts, lower(trim(tool_name)), tool_input_json
+), seq AS (
+  SELECT session_id, tool, row_number() OVER (PARTITION BY session_id ORDER BY ts NULLS FIRST, id) AS n FROM clean
+), need AS (
+  SELECT ceil(count(DISTINCT session_id) * 0.2 - 1e-9) AS least FROM seq
+), pairs AS (
+  SELECT DISTINCT a.session_id, a.n, b.n AS n2, a.tool || '>' || b.tool AS p FROM seq a JOIN seq b ON a.session_id = b.session_id AND b.n BETWEEN a.n + 1 AND a.n + 4
+), threes AS (
+  SELECT DISTINCT a.session_id, b.n AS n3, a.p || '>' || b.tool AS p FROM pairs a JOIN seq b ON a.session_id = b.session_id AND b.n BETWEEN a.n2 + 1 AND a.n2 + 4
+), fours AS (
+  SELECT DISTINCT a.session_id, a.p || '>' || b.tool AS p FROM threes a JOIN seq b ON a.session_id = b.session_id AND b.n BETWEEN a.n3 + 1 AND a.n3 + 4
+)
+SELECT p AS pattern, count(DISTINCT session_id) AS support FROM (SELECT session_id, p FROM threes UNION ALL SELECT session_id, p FROM fours)
+GROUP BY p HAVING count(DISTINCT session_id) >= (SELECT least FROM need)
+""",
+}
