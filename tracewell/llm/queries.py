@@ -3,18 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
-from .conversations import rebuild_conversations
+from .conversations import conversation_clocks, rebuild_conversations
+from .forest import expand_pairs, near_duplicates
+from .history import instinct_vectors, memory_vectors, restated_rows
+from .packing import pack, token_counts
 from .sequences import frequent_sequences
 from .tokenize import encode_corpus
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that restate a row of an earlier batch."""
+    vectors = memory_vectors(table(spark, folder, "memories")).unionByName(instinct_vectors(table(spark, folder, "instincts")))
+    return restated_rows(vectors)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The messages of every whole conversation, in order."""
     return rebuild_conversations(table(spark, folder, "transcript")).select("session_id", "pos", "uuid", "role")
 
 
+def p2_clocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The estimated difference of the senders' clocks in each session."""
+    return conversation_clocks(table(spark, folder, "transcript"))
+
+
+def _p3_records(spark: SparkSession, folder: str) -> DataFrame:
+    memories = table(spark, folder, "memories").select(F.lit("memories").alias("rel"), "row_id", F.concat_ws(" ", "description", "body").alias("text"))
+    return memories.unionByName(table(spark, folder, "instincts").select(F.lit("instincts").alias("rel"), "row_id", F.col("trigger").alias("text")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of near-duplicate memories and of near-duplicate instincts."""
+    return expand_pairs(*near_duplicates(_p3_records(spark, folder)))
+
+
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with its class of equal texts and the number of other classes that class is linked to."""
+    members, links = near_duplicates(_p3_records(spark, folder))
+    ends = links.select("rel", F.col("class_a").alias("class_id")).unionByName(links.select("rel", F.col("class_b").alias("class_id")))
+    return members.join(ends.groupBy("rel", "class_id").agg(F.count("*").alias("links")), ["rel", "class_id"], "left").select("rel", "row_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lists of three or four tools that at least a fifth of the sessions contain, with at most three calls between steps."""
     return frequent_sequences(table(spark, folder, "observations"))
@@ -25,8 +57,38 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids}
+def p8_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The window of every document, or piece of one, for each capacity of ``token_windows``."""
+    windows = [(r["window_name"], r["capacity_tokens"]) for r in table(spark, folder, "token_windows").collect()]
+    return pack(token_counts(table(spark, folder, "documents")), windows)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clocks": p2_clocks, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows}
 SQL: dict[str, str] = {
+    "p1_found": r"""
+WITH m AS (
+  SELECT row_id, batch_no, list_distinct(regexp_extract_all(lower(coalesce(description, '')), '[\p{L}\p{N}]+')) AS w,
+         list_filter(list_transform(coalesce(keywords, []), lambda k: lower(trim(k))), lambda k: k <> '') AS k FROM memories
+), i AS (
+  SELECT row_id, batch_no, list_transform(list_sort(regexp_extract_all(lower(coalesce(id, '')), '[\p{L}\p{N}]+')), lambda x: x) AS ws FROM instincts
+), bag AS (
+  SELECT row_id, batch_no, list(x || '#' || n) AS w FROM (
+    SELECT row_id, batch_no, x, row_number() OVER (PARTITION BY row_id, batch_no, x) AS n FROM (SELECT row_id, batch_no, unnest(ws) AS x FROM i)) GROUP BY ALL
+)
+SELECT DISTINCT 'memories' AS rel, a.row_id FROM m a JOIN m b ON b.batch_no < a.batch_no AND list_has_any(a.k, b.k) AND len(a.w) > 0
+  AND 5 * len(list_intersect(a.w, b.w)) >= 3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))
+UNION ALL
+SELECT DISTINCT 'instincts', a.row_id FROM bag a JOIN bag b ON b.batch_no < a.batch_no
+  AND greatest(len(a.w), len(b.w)) - len(list_intersect(a.w, b.w)) <= 1
+""",
+    "p3_found": r"""
+WITH r AS (
+  SELECT 'memories' AS rel, row_id, list_distinct(regexp_extract_all(lower(concat_ws(' ', description, body)), '[\p{L}\p{N}]+')) AS w FROM memories
+  UNION ALL SELECT 'instincts', row_id, list_distinct(regexp_extract_all(lower(coalesce(trigger, '')), '[\p{L}\p{N}]+')) FROM instincts
+)
+SELECT a.rel, a.row_id AS row_id_a, b.row_id AS row_id_b FROM r a JOIN r b ON a.rel = b.rel AND a.row_id < b.row_id AND len(a.w) > 0 AND len(b.w) > 0
+  AND 5 * len(list_intersect(a.w, b.w)) >= 3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))
+""",
     "p2_found": """
 WITH parsed AS (
   SELECT session_id, line_no, type AS role, nullif(uuid, '') AS uuid,
