@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .conversations import conversation_clocks, rebuild_conversations
+from .credentials import find_credentials, redact
 from .forest import expand_pairs, near_duplicates
 from .history import instinct_vectors, memory_vectors, restated_rows
 from .packing import pack, token_counts
@@ -47,6 +48,16 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     return members.join(ends.groupBy("rel", "class_id").agg(F.count("*").alias("links")), ["rel", "class_id"], "left").select("rel", "row_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every literal credential in tool inputs and response summaries."""
+    return find_credentials(table(spark, folder, "observations"))
+
+
+def p4_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """The tool calls with every credential masked in place."""
+    return redact(table(spark, folder, "observations")).select("id", "tool_input_json", "tool_response_summary")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lists of three or four tools that at least a fifth of the sessions contain, with at most three calls between steps."""
     return frequent_sequences(table(spark, folder, "observations"))
@@ -63,7 +74,7 @@ def p8_windows(spark: SparkSession, folder: str) -> DataFrame:
     return pack(token_counts(table(spark, folder, "documents")), windows)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clocks": p2_clocks, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clocks": p2_clocks, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows}
 SQL: dict[str, str] = {
     "p1_found": r"""
 WITH m AS (
