@@ -12,6 +12,7 @@ from .forest import expand_pairs, near_duplicates
 from .history import instinct_vectors, memory_vectors, restated_rows
 from .packing import pack, token_counts
 from .sequences import frequent_sequences
+from .subjects import document_subjects
 from .tokenize import encode_corpus
 
 
@@ -74,7 +75,22 @@ def p8_windows(spark: SparkSession, folder: str) -> DataFrame:
     return pack(token_counts(table(spark, folder, "documents")), windows)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clocks": p2_clocks, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects of every document that has none by hand, as spelled in ``subjects``."""
+    found = document_subjects(table(spark, folder, "documents"))
+    by_hand = table(spark, folder, "doc_subjects").select("doc_id")
+    spelled = table(spark, folder, "subjects").select(F.col("subject").alias("spelled"), F.lower(F.trim("subject")).alias("subject"))
+    return found.join(by_hand, "doc_id", "left_anti").join(spelled, "subject").select("doc_id", F.col("spelled").alias("subject"))
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and share of the corpus by subject; a document of several subjects counts for each."""
+    documents = table(spark, folder, "documents")
+    total = documents.count()
+    return document_subjects(documents).groupBy("subject").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / F.lit(max(total, 1)))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clocks": p2_clocks, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found, "p9_composition": p9_composition}
 SQL: dict[str, str] = {
     "p1_found": r"""
 WITH m AS (
