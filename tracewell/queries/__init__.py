@@ -1,7 +1,6 @@
 """Named queries of the core and the SQL that must give the same rows."""
 
-from . import nested
+from . import core, core_sql, nested
 
-_MODULES = (nested,)
-QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
-SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
+QUERIES = {**core.QUERIES, **nested.QUERIES}
+SQL = {**core_sql.SQL, **nested.SQL}
