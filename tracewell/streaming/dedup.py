@@ -28,10 +28,10 @@ class _Greedy(StatefulProcessor):
         frames = [f for f in rows if len(f)]
         if not frames:
             return
-        frame = pd.concat(frames).sort_values(["_us", "_order"], kind="stable")
+        frame = pd.concat(frames).sort_values(["dedup_us", "dedup_order"], kind="stable")
         last = self.last.get()[0] if self.last.exists() else None
         keep, late = [], []
-        for us in frame["_us"].tolist():
+        for us in frame["dedup_us"].tolist():
             behind = last is not None and us < last
             kept = behind or last is None or us - last >= self.window_us
             if kept and not behind:
@@ -56,8 +56,8 @@ def dedup_stream(events: DataFrame, keys: list[str], time: str = "ts", row_id: s
     """
     columns = events.columns
     schema = T.StructType([*events.schema.fields, T.StructField("late", T.BooleanType())])
-    rows = events.withColumns({"_key": F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256), "_us": F.unix_micros(F.col(time).cast("timestamp")), "_order": F.col(row_id).cast("string")})
-    return rows.filter(F.col("_us").isNotNull()).groupBy("_key").transformWithStateInPandas(_Greedy(window_s * 1_000_000, ttl_s * 1000, columns), schema, "Append", "None")
+    rows = events.withColumns({"dedup_key": F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256), "dedup_us": F.unix_micros(F.col(time).cast("timestamp")), "dedup_order": F.col(row_id).cast("string")})
+    return rows.filter(F.col("dedup_us").isNotNull()).groupBy("dedup_key").transformWithStateInPandas(_Greedy(window_s * 1_000_000, ttl_s * 1000, columns), schema, "Append", "ProcessingTime")
 
 
 class _Threshold(StatefulProcessor):
