@@ -143,8 +143,10 @@ def test_mining_and_summaries(spark):
 
 
 def run_stream(spark, make, tmp_path, name):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one state server instead of four
     q = make.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
     q.awaitTermination(120)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     return spark.table(name)
 
 
