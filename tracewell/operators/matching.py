@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import character_similarity, normal_keywords
+from ..functions.text import characters, normal_keywords, set_similarity
 from ..runtime import materialise
 from ..schemas import SIMILAR_FROM
 
@@ -99,13 +99,14 @@ def best_keyword_matches(queries: DataFrame, candidates: DataFrame, threshold: f
     """(query_id, match_id, score): the best candidate that shares a keyword with the query.
 
     queries: (query_id, text, keywords); candidates: (match_id, ord, text, keywords). Keywords are an inverted
-    index, so only pairs that share one are compared; the candidates of a frequent keyword are salted.
+    index, so only pairs that share one are compared, each text as a set made once; the candidates of a frequent
+    keyword are salted.
     """
     salts = 8
-    q = queries.select("query_id", F.col("text").alias("a"), F.explode(F.array_distinct(normal_keywords("keywords"))).alias("keyword")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    c = candidates.select("match_id", "ord", F.col("text").alias("b"), F.explode(F.array_distinct(normal_keywords("keywords"))).alias("keyword")).withColumn("salt", F.pmod(F.xxhash64("match_id"), F.lit(salts)).cast("int"))
+    q = queries.select("query_id", characters("text").alias("a"), F.explode(F.array_distinct(normal_keywords("keywords"))).alias("keyword")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    c = candidates.select("match_id", "ord", characters("text").alias("b"), F.explode(F.array_distinct(normal_keywords("keywords"))).alias("keyword")).withColumn("salt", F.pmod(F.xxhash64("match_id"), F.lit(salts)).cast("int"))
     met = q.join(c, ["keyword", "salt"])
     met = met.filter(F.col("query_id") != F.col("match_id")) if others_only else met
-    pairs = met.select("query_id", "match_id", "ord", character_similarity("a", "b").alias("score")).filter(F.col("score") >= threshold)
+    pairs = met.select("query_id", "match_id", "ord", set_similarity(F.col("a"), F.col("b")).alias("score")).filter(F.col("score") >= threshold)
     best = pairs.groupBy("query_id").agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("ord"))).alias("m"))
     return best.select("query_id", "m.match_id", "m.score")

@@ -9,7 +9,9 @@ and each component is folded by one grouped task, in order of ``seq``. Input col
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
+from collections.abc import Callable, Iterable
 from hashlib import md5
 
 import pandas as pd
@@ -38,55 +40,61 @@ def id_of(candidate: str | None, fallback: str) -> str:
     return candidate[: S.ID_CUT] if _KEBAB.match(candidate) else slug_of(fallback)
 
 
-def similarity(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
-
-
-def _characters(text: str | None) -> frozenset:
-    return frozenset((text or "").replace(" ", ""))
-
-
 class _Store:
-    """Rows by id in candidate order: a touched row moves to the end; the first of equal scores wins."""
-
-    def __init__(self, rows: list[dict], text: str):
-        self.text, self.rows, self.sets = text, {}, {}
+    """Rows by id in candidate order: a touched row moves to the end; the first of equal scores wins.
+
+    Character sets are bit masks, and rows are indexed by their gates, so a candidate is compared only with
+    the rows it may merge with.
+    """
+
+    def __init__(self, rows: list[dict], text: str, gates: Callable[[dict], Iterable[str]]):
+        self.text, self.gates, self.rows = text, gates, {}
+        self.bits: dict[str, int] = {}
+        self.mask: dict[str, int] = {}
+        self.place: dict[str, int] = {}
+        self.members: dict[str, set[str]] = {}
+        self.count = 0
         for r in sorted(rows, key=lambda r: f"{r['id']}.md"):
             self.put(r)
 
-    def put(self, row: dict) -> None:
-        self.rows.pop(row["id"], None)
-        self.rows[row["id"]] = row
-        self.sets[row["id"]] = _characters(row[self.text])
+    def _mask(self, text: str | None) -> int:
+        out = 0
+        for c in set((text or "").replace(" ", "")):
+            out |= 1 << self.bits.setdefault(c, len(self.bits))
+        return out
 
-    def best(self, text: str, gate) -> dict | None:  # noqa: ANN001
-        mine, best, score = _characters(text), None, 0.0
-        for key, row in self.rows.items():
-            if gate(row):
-                s = similarity(mine, self.sets[key])
-                if s >= S.SIMILAR_FROM and s > score:
-                    best, score = row, s
-        return best
-
-
-def _clean(frame: pd.DataFrame) -> list[dict]:
-    def value(v: object) -> object:
-        if v is None or (not isinstance(v, (list, str)) and not hasattr(v, "__len__") and pd.isna(v)):
-            return None
-        return list(v) if hasattr(v, "tolist") and hasattr(v, "__len__") else v
-
-    return [{k: value(v) for k, v in r.items()} for r in frame.to_dict("records")]
+    def put(self, row: dict) -> None:
+        key, old = row["id"], self.rows.get(row["id"])
+        for g in self.gates(old) if old else ():
+            self.members[g].discard(key)
+        self.rows[key], self.mask[key], self.place[key] = row, self._mask(row[self.text]), self.count
+        self.count += 1
+        for g in self.gates(row):
+            self.members.setdefault(g, set()).add(key)
+
+    def best(self, text: str, gates: Iterable[str]) -> dict | None:
+        mine, best, score = self._mask(text), None, 0.0
+        for key in set().union(*(self.members.get(g, ()) for g in gates)):
+            both, all_ = (mine & self.mask[key]).bit_count(), (mine | self.mask[key]).bit_count()
+            s = both / all_ if both else 0.0
+            if s >= S.SIMILAR_FROM and (s > score or (s == score and self.place[key] < self.place[best])):
+                best, score = key, s
+        return self.rows[best] if best is not None else None
+
+    def in_order(self) -> list[dict]:
+        return [self.rows[k] for k in sorted(self.rows, key=self.place.__getitem__)]
 
 
 def fold_instincts(stored: list[dict], candidates: list[dict], today: dt.date) -> list[dict]:
     """Merge by similar trigger within a domain, else by id; new rows begin at the initial confidence."""
-    store = _Store(stored, "trigger")
+    gate = lambda r: [d] if (d := (r["domain"] or "").strip()) else []
+    store = _Store(stored, "trigger", gate)
     for c in candidates:
         trigger = (c["trigger"] or "").strip()
         if not trigger:
             continue
         domain = (c["domain"] or "").strip()
-        row = store.best(trigger, lambda r, d=domain: bool(d) and (r["domain"] or "").strip() == d)
+        row = store.best(trigger, gate(c))
         row = row or store.rows.get(id_of(c["id"], trigger))
         body = f"## Action\n{c['action']}\n\n## Evidence\n{c['evidence'] or ''}" if c["action"] else trigger
         if row is None:
@@ -94,32 +102,31 @@ def fold_instincts(stored: list[dict], candidates: list[dict], today: dt.date) -
         else:
             new = {**row, "confidence": next_confidence(row["confidence"] if row["confidence"] is not None else S.INITIAL_CONFIDENCE, True), "hit_count": int(row["hit_count"] or 0) + 1}
         store.put({**new, "trigger": trigger, "domain": domain or (row or {}).get("domain") or "", "deprecated": False, "last_seen": today, "body": body})
-    return list(store.rows.values())
+    return store.in_order()
 
 
 def fold_facts(stored: list[dict], candidates: list[dict], today: dt.date) -> list[dict]:
     """Merge by similar description among rows that share a keyword, else by id; a merge replaces the row."""
-    store = _Store(stored, "description")
-    normal = lambda ks: {k.strip().lower() for k in ks or [] if k and k.strip()}
+    gates = lambda r: {k.strip().lower() for k in r["keywords"] or [] if k and k.strip()}
+    store = _Store(stored, "description", gates)
     for c in candidates:
         description = (c["description"] or "").strip()
         if not description:
             continue
-        mine = normal(c["keywords"])
-        row = store.best(description, lambda r, m=mine: bool(m & normal(r["keywords"])))
+        row = store.best(description, gates(c))
         key = row["id"] if row else id_of(c["name"], description)
         store.put({"id": key, "type": c["type"] or "project", "keywords": c["keywords"] or [], "description": description, "created": today, "body": c["body"] or description})
-    return list(store.rows.values())
+    return store.in_order()
 
 
 def fold_procedures(stored: list[dict], candidates: list[dict], today: dt.date) -> list[dict]:
     """Merge by similar task; success moves confidence; enough of it promotes, once, and nothing demotes."""
-    store = _Store(stored, "task_type")
+    store = _Store(stored, "task_type", lambda _: ("all",))
     for c in candidates:
         task = (c["task_type"] or "").strip()
         if not task:
             continue
-        row = store.best(task, lambda _: True)
+        row = store.best(task, ("all",))
         old = row or {}
         prior = old.get("confidence")
         confidence = next_confidence(S.INITIAL_CONFIDENCE if prior is None else prior, bool(c["is_successful"]))
@@ -131,7 +138,7 @@ def fold_procedures(stored: list[dict], candidates: list[dict], today: dt.date)
             sessions.append(c["session_id"])
         steps = "\n".join(f"{i}. {s}" for i, s in enumerate(c["steps"] or [], 1))
         store.put({"id": old.get("id") or id_of(c["id"], task), "task_type": task, "hit_count": int(old.get("hit_count") or 0) + 1, "confidence": confidence, "status": "promoted" if promoted_now else status, "skill_asked": False if revived or row is None else bool(old.get("skill_asked")), "first_seen": old.get("first_seen") or today, "last_seen": today, "evidence_sessions": sessions, "body": steps + (f"\n\n{c['note']}" if c["note"] else ""), "promoted_now": promoted_now or bool(old.get("promoted_now"))})
-    return list(store.rows.values())
+    return store.in_order()
 
 
 def _folded(store: DataFrame, candidates: DataFrame, links: DataFrame, fold, schema, today: dt.date) -> DataFrame:  # noqa: ANN001
@@ -143,8 +150,6 @@ def _folded(store: DataFrame, candidates: DataFrame, links: DataFrame, fold, sch
     dates = [f.name for f in schema.fields if f.dataType.typeName() == "date"]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        import json
-
         stored, new = [], []
         for seq, text in frame.sort_values("seq", kind="stable")[["seq", "json"]].itertuples(index=False):
             row = json.loads(text)
