@@ -59,6 +59,23 @@ def test_made_up_pages(spark):
     assert not {9000, 9001, 9002, 9003} & set(got)
 
 
+def test_copies_and_frequent_subjects_keep_their_words(spark):
+    """A third of the rows is one page about law, and half of the distinct pages are about sport."""
+    r = random.Random(7)
+    common = [f"common{c}x" for c in "abcdefghijklmnopqrstuvwxyz"]
+    page = lambda s: " ".join(["the of and his"] * 5 + [r.choice(common) for _ in range(10)] + INSPECTED[s]["en"].split() * 3)
+    rows, truth = [], {}
+    for i in range(400):
+        truth[i] = r.choice(["sport", r.choice(SUBJECTS)])
+        rows.append((i, page(truth[i])))
+    copied = page("law")
+    rows += [(1000 + i, copied) for i in range(200)]
+    truth |= {1000 + i: "law" for i in range(200)}
+    got = {tuple(x) for x in document_subjects(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len([x for x in got if x[0] >= 1000 and x[1] == "law"]) == 200
+    assert len(got & set(truth.items())) > 0.95 * len(truth) and len(got - set(truth.items())) < 0.05 * len(truth)
+
+
 def test_no_documents(spark):
     assert document_subjects(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -2,10 +2,11 @@
 
 1. Every whole text becomes a bag of words: words broken at line ends are joined, compatibility forms
    unified, digits and marks dropped. The language is the one whose function words are most frequent.
-2. Document frequencies are counted over all documents of a language; the vocabulary is the words in
-   0.2 % to 30 % of them. That bounds it: each document holds its words once, so at most (mean distinct
-   words / 0.002) words can be that frequent, however large the corpus.
-3. One topic model a language, fitted by variational EM over all documents: every round is one scan of the
+   Copies, texts with equal bags, become one stored bag; the subjects found for it are joined back to all.
+2. Document frequencies are counted over the distinct bags of a language; the vocabulary is the words in
+   0.2 % to 30 % of them, and the inspected terms however frequent. That bounds it: each bag holds its words
+   once, so at most (mean distinct words / 0.002) words can be that frequent, however large the corpus.
+3. One topic model a language, fitted by variational EM over the distinct bags: every round is one scan of the
    stored bags that sums topic-term statistics in each partition, adds them up by term in a shuffle, and
    hands the (bounded) totals to the next round.
 4. Topics are mapped to subjects by their top terms: a topic belongs to the subject whose inspected terms
@@ -17,13 +18,14 @@
 The topics start from random weights that favour the inspected terms, so each subject has its topic in every
 language from the first round; what the topics become is decided by the documents.
 
-Defined cases: null, empty and blank texts and texts without known words have no subjects; repeated rows
-count as documents and their subjects are listed once; a null ``doc_id`` is kept as null; no documents give
+Defined cases: null, empty and blank texts and texts without known words have no subjects; copies do not
+change the model, and the subjects of repeated rows are listed once; a null ``doc_id`` is kept as null; no documents give
 no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -60,7 +62,9 @@ SUBJECTS = tuple(INSPECTED)
 _BROKEN = re.compile(r"[-­¬=‐‑■]\s*\n\s*")
 _WORD = re.compile(r"[^\W\d_]+")
 _LANGUAGE_OF = {w: lang for lang, words in FUNCTION_WORDS.items() for w in words.split()}
-_BAG = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+#: Copies of one text are joined to its subjects in this many parts.
+SALTS = 16
+_BAG = T.StructType([T.StructField("key", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -86,24 +90,27 @@ def bag_of_words(text: str | None) -> tuple[str | None, Counter]:
 
 
 def word_bags(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id_column, lang, words, counts); texts without a language have no row."""
+    """(id_column, key, lang, words, counts); equal bags have equal keys; texts without a language have no row."""
     schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), *_BAG.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                owner, langs, words, counts, offsets = [], [], [], [], [0]
+                owner, keys, langs, words, counts, offsets = [], [], [], [], [], [0]
                 for i, text in enumerate(part.column(1)):
                     lang, bag = bag_of_words(text.as_py())
                     if lang:
+                        own = sorted(bag)
+                        often = [bag[w] for w in own]
                         owner.append(i)
+                        keys.append(hashlib.blake2b(repr((lang, own, often)).encode(), digest_size=16).hexdigest())
                         langs.append(lang)
-                        words += bag.keys()
-                        counts += bag.values()
+                        words += own
+                        counts += often
                         offsets.append(len(words))
                 place = pa.array(offsets, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), pa.array(langs, pa.string()), pa.ListArray.from_arrays(place, pa.array(words, pa.string())), pa.ListArray.from_arrays(place, pa.array(counts, pa.int32()))], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), pa.array(keys, pa.string()), pa.array(langs, pa.string()), pa.ListArray.from_arrays(place, pa.array(words, pa.string())), pa.ListArray.from_arrays(place, pa.array(counts, pa.int32()))], names=schema.fieldNames())
 
     return df.filter(F.length(text_column) > 0).select(id_column, text_column).mapInArrow(run, schema)
 
@@ -116,7 +123,7 @@ def _rows_of(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def vocabulary(bags: DataFrame, low: float, high: float, least: int) -> dict[str, list[str]]:
-    """The words of each language whose document frequency lies between the shares."""
+    """The words of each language whose document frequency lies between the shares; inspected terms also above."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +136,11 @@ def vocabulary(bags: DataFrame, low: float, high: float, least: int) -> dict[str
     sizes = {r["lang"]: r["n"] for r in bags.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     bounds = bags.sparkSession.createDataFrame([(lang, max(float(least), low * n), high * n) for lang, n in sizes.items()], "lang string, low double, high double")
     counted = bags.select("lang", "words").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    kept = counted.join(F.broadcast(bounds), "lang").filter((F.col("n") >= F.col("low")) & (F.col("n") <= F.col("high")) & (F.length("word") > 2))
+    inspected = F.lit(False)
+    for lang in sizes:
+        terms = [w for by_lang in INSPECTED.values() for w in by_lang.get(lang, "").split()]
+        inspected = inspected | ((F.col("lang") == lang) & F.col("word").isin(terms))
+    kept = counted.join(F.broadcast(bounds), "lang").filter((F.col("n") >= F.col("low")) & ((F.col("n") <= F.col("high")) | inspected) & (F.length("word") > 2))
     out: dict[str, list[str]] = {}
     for r in kept.select("lang", "word").collect():
         out.setdefault(r["lang"], []).append(r["word"])
@@ -227,12 +238,13 @@ def subject_of_topics(weights: np.ndarray, vocabulary_: list[str], lang: str, to
 
 def document_subjects(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", low: float = 0.002, high: float = 0.3, least_documents: int = 3, least_tokens: float = 3.0, least_share: float = 0.1, alpha: float = 0.1, rounds: int = 6, steps: int = 6) -> DataFrame:
     """(id_column, subject) of every subject of every document."""
-    bags = materialise(word_bags(df, id_column, text_column), "bags")
+    all_bags = materialise(word_bags(df, id_column, text_column), "all_bags")
+    bags = materialise(all_bags.groupBy("key").agg(F.any_value(F.struct("lang", "words", "counts")).alias("bag")).select("key", "bag.*"), "bags")
     words = vocabulary(bags, low, high, least_documents)
-    schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("subject", T.StringType())])
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("subject", T.StringType())])
     if not words:
-        return df.sparkSession.createDataFrame([], schema)
-    encoded = materialise(encode_bags(bags, words, id_column), "encoded")
+        return df.sparkSession.createDataFrame([], T.StructType([df.schema[id_column], schema["subject"]]))
+    encoded = materialise(encode_bags(bags, words, "key"), "encoded")
     weights = fit_topics(encoded, words, rounds=rounds, steps=steps, alpha=alpha)
     subjects = {lang: subject_of_topics(w, words[lang], lang) for lang, w in weights.items()}
     belongs = {lang: np.array([[s == subject for subject in SUBJECTS] for s in names], float) for lang, names in subjects.items()}
@@ -250,4 +262,6 @@ def document_subjects(df: DataFrame, id_column: str = "doc_id", text_column: str
                     row, subject = np.nonzero((tokens >= least_tokens) & (tokens >= least_share * tokens.sum(1)[:, None]))
                     yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(row)), pa.array([SUBJECTS[s] for s in subject], pa.string())], names=schema.fieldNames())
 
-    return encoded.select(id_column, "lang", "terms", "counts").mapInArrow(assign, schema).distinct()
+    found = encoded.select("key", "lang", "terms", "counts").mapInArrow(assign, schema).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = all_bags.select(F.col(id_column).alias("_id"), "key", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int").alias("salt"))
+    return members.join(found, ["key", "salt"]).select(F.col("_id").alias(id_column), "subject").distinct()
