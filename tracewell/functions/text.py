@@ -97,6 +97,12 @@ def iso_time(c: str | Column) -> Column:
     return F.try_to_timestamp(_c(c))
 
 
+def parse_time_us(c: str | Column) -> Column:
+    """Microseconds of an ISO time stamp or of epoch milliseconds in text; null if unreadable."""
+    text = F.trim(_c(c))
+    return F.when(text.rlike(r"^\d{12,14}$"), text.cast("long") * 1000).otherwise(F.unix_micros(F.try_to_timestamp(text)))
+
+
 def json_object_field(c: str | Column, name: str) -> Column:
     """A field of a JSON object as text; null if the text is no object or the field is missing."""
     v = F.try_parse_json(_c(c))

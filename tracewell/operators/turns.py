@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cut, is_typed_prompt, spoken_text
+from ..functions.text import cut, is_typed_prompt, parse_time_us, spoken_text
 from ..schemas import MIN_EPISODE_CALLS, STEP_CUT, TURN_CUT
 from .ordering import carried_forward, running_count
 
@@ -18,19 +18,20 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     prompt = is_typed_prompt("type", "m") & (F.coalesce("uuid", F.lit("")) != "")
     rows = m.withColumn("is_prompt", prompt).filter(F.col("is_prompt") | (F.col("type") == "assistant"))
     text = F.when(F.col("is_prompt"), F.try_variant_get("m", "$.content", "string")).otherwise(spoken_text("m"))
-    return rows.select("session_id", "line_no", "uuid", F.try_to_timestamp("timestamp").alias("ts"), "is_prompt", text.alias("text"))
+    return rows.select("session_id", "line_no", "uuid", F.try_to_timestamp("timestamp").alias("ts"), parse_time_us("timestamp").alias("time_us"), "is_prompt", text.alias("text"))
 
 
 def turns(lines: DataFrame, order: str = "line_no", limit: int = TURN_CUT) -> DataFrame:
     """(session_id, turn_no, uuid, user, assistant, ts): a prompt with all assistant text up to the next one.
 
     Rows before the first prompt are dropped. A running count of prompts numbers the turns (a prefix sum over
-    chunks, whatever the size of a session), and texts are joined per turn. Lines without an order are left out; equal
-    ones follow the uuid.
+    chunks, whatever the size of a session), and texts are joined per turn. Lines without an order come last and follow
+    their time, unreadable times last; equal ones follow the uuid.
     """
-    rows = parsed_lines(lines).filter(F.col(order).isNotNull())
-    numbered = running_count(rows, "session_id", [order, "uuid"], rows.columns, F.col("is_prompt"), "lines").withColumn("turn_no", F.col("running").cast("int")).filter(F.col("turn_no") > 0)
-    said = F.array_sort(F.collect_list(F.when(~F.col("is_prompt") & (F.col("text") != ""), F.struct(order, "uuid", "text"))))
+    rows = parsed_lines(lines).withColumns({"no_order": F.col(order).isNull(), "no_time": F.col("time_us").isNull()})
+    keys = ["no_order", order, "no_time", "time_us", "uuid"]
+    numbered = running_count(rows, "session_id", keys, rows.columns, F.col("is_prompt"), "lines").withColumn("turn_no", F.col("running").cast("int")).filter(F.col("turn_no") > 0)
+    said = F.array_sort(F.collect_list(F.when(~F.col("is_prompt") & (F.col("text") != ""), F.struct(*keys, "text"))))
     grouped = numbered.groupBy("session_id", "turn_no").agg(F.max(F.when(F.col("is_prompt"), F.struct("uuid", "text", "ts"))).alias("p"), said.alias("said"))
     answer = F.array_join(F.transform("said", lambda x: x["text"]), "\n")
     return grouped.select("session_id", "turn_no", "p.uuid", cut("p.text", limit, CUT_MARK).alias("user"), cut(answer, limit, CUT_MARK).alias("assistant"), "p.ts")

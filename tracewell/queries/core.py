@@ -79,8 +79,10 @@ def transcript_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _first_lines(lines: DataFrame) -> DataFrame:
-    """A line written twice counts at its first place; lines without uuid all stay."""
-    named = lines.filter(F.col("uuid") != "").groupBy("session_id", "uuid").agg(F.min_by(F.struct(*[c for c in lines.columns if c not in ("session_id", "uuid")]), F.struct("line_no", "timestamp")).alias("x")).select("session_id", "uuid", "x.*")
+    """A line written twice counts at its first place, or time where it has none; lines without uuid all stay."""
+    time = text.parse_time_us("timestamp")
+    place = F.struct(F.col("line_no").isNull().alias("no_line"), "line_no", time.isNull().alias("no_time"), time.alias("time_us"), "timestamp", "type", "message")
+    named = lines.filter(F.col("uuid") != "").groupBy("session_id", "uuid").agg(F.min_by(F.struct(*[c for c in lines.columns if c not in ("session_id", "uuid")]), place).alias("x")).select("session_id", "uuid", "x.*")
     return named.select(*lines.columns).unionByName(lines.filter(F.coalesce("uuid", F.lit("")) == ""))
 
 
