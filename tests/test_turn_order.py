@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from support import DATA
-from test_operators import LINE, line
+from test_operators import LINE, T0, calls, line
 from tracewell.operators import turns
 from tracewell.queries import QUERIES
 
@@ -60,6 +60,14 @@ def folded():
     return out
 
 
+def test_epoch_milliseconds_bound_episodes(spark):
+    ms = lambda s: str(int((T0 + dt.timedelta(seconds=s)).replace(tzinfo=dt.timezone.utc).timestamp() * 1000))
+    rows = [line("s", i, "user", f"u{i}", f"p{i}", ms(100 * i)) for i in range(3)]
+    observed = calls(spark, [("s", t, "Read", {"a": 1}) for t in (-5, 0, 50, 99, 100, 120, 150, 199, 200)])
+    got = turns.episodes(turns.turns(spark.createDataFrame(rows, LINE)), observed).collect()
+    assert {(e["uuid"], e["calls"]) for e in got} == {("u0", 3), ("u1", 4)}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_turn_queries_hold_every_session(spark):
     want = folded()
@@ -77,3 +85,18 @@ def test_turn_queries_hold_every_session(spark):
 
 def turns_cut(text):
     return text[:4000] + turns.CUT_MARK if len(text) > 4000 else text
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_episodes_hold_the_calls_of_their_interval(spark):
+    at = {}
+    for r in pq.read_table(f"{DATA}/observations.parquet", columns=["session_id", "ts"]).to_pylist():
+        if r["session_id"] is not None and r["ts"] is not None:
+            at.setdefault(r["session_id"], []).append(time_us(r["ts"].isoformat()))
+    want = set()
+    for s, ts in folded().items():
+        open_ = [(time or 0, n, u, after) for n, ((u, time, _), (_, after, _)) in enumerate(zip(ts, ts[1:], strict=False), 1) if after is not None]
+        own = [max((o for o in open_ if o[0] <= t), default=None) for t in at.get(s, ())]
+        own = [o[1:3] for o, t in zip(own, at.get(s, ()), strict=True) if o and t < o[3]]
+        want |= {(s, n, u, own.count((n, u))) for n, u in own if own.count((n, u)) >= 3}
+    assert {tuple(r) for r in QUERIES["episode_steps"](spark, DATA).select("session_id", "turn_no", "uuid", "calls").collect()} == want != set()

@@ -18,7 +18,7 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     prompt = is_typed_prompt("type", "m") & (F.coalesce("uuid", F.lit("")) != "")
     rows = m.withColumn("is_prompt", prompt).filter(F.col("is_prompt") | (F.col("type") == "assistant"))
     text = F.when(F.col("is_prompt"), F.try_variant_get("m", "$.content", "string")).otherwise(spoken_text("m"))
-    return rows.select("session_id", "line_no", "uuid", F.try_to_timestamp("timestamp").alias("ts"), parse_time_us("timestamp").alias("time_us"), "is_prompt", text.alias("text"))
+    return rows.select("session_id", "line_no", "uuid", F.timestamp_micros(parse_time_us("timestamp")).alias("ts"), parse_time_us("timestamp").alias("time_us"), "is_prompt", text.alias("text"))
 
 
 def turns(lines: DataFrame, order: str = "line_no", limit: int = TURN_CUT) -> DataFrame:
