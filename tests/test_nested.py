@@ -1,11 +1,16 @@
 import json
+import os
 import random
 
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from support import DATA
 from tracewell.operators import nested
+from tracewell.queries.nested import p5_found, p5_tables
 
 
 def walk(v, path="$", parent=None):
@@ -93,3 +98,37 @@ def test_tables_linked_by_containment(spark):
 def test_first_copy(spark):
     df = spark.createDataFrame([("u", None, "late"), ("u", 2, "b"), ("u", 1, "a"), ("v", None, None)], "u string, n int, m string")
     assert {tuple(r) for r in nested.first_copy(df, "u", ["n"], "m").collect()} == {("u", "a"), ("v", None)}
+
+
+def flat(v, path="$", parent=None, name=None, level=0):
+    kind = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(v), "number")
+    yield parent, path, kind, level, name, {"string": v, "boolean": str(v).lower(), "number": repr(v)}.get(kind)
+    if isinstance(v, dict):
+        for k, x in v.items():
+            yield from flat(x, f"{path}.{k}", path, k, level + 1)
+    elif isinstance(v, list):
+        for i, x in enumerate(v):
+            yield from flat(x, f"{path}[{i}]", parent, None, level + 1)
+
+
+def test_enclosing_keeps_nodes_without_parent(spark):
+    texts = {"a": '{"n": null, "x": {"y": [1, {"z": false}]}, "big": 12345678901234567890}', "b": '[1, {"q": "s"}]', "c": "7", "d": "{cut"}
+    nodes = nested.shred(spark.createDataFrame(list(texts.items()), "k string, j string"), "k", "j")
+    got = {tuple(r) for r in nested.enclosing(nodes, nested.node_tables(nodes)["object"], keep=("kind", "level", "name", "value"), outer=True).select("row_key", "parent_path", "child_path", "kind", "level", "name", "value").collect()}
+    assert got == {(k, *x) for k, t in texts.items() if k != "d" for x in flat(json.loads(t))}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_tables_hold_every_node_of_both_relations(spark):
+    rows = p5_tables(spark, DATA).collect()
+    calls = {(str(r["id"]), *x) for r in pq.read_table(f"{DATA}/observations.parquet").to_pylist() for v in [nested.parse_json(r["tool_input_json"])] if v is not nested._MISSING for x in flat(v)}
+    assert {(r["row_key"], *[r[c] for c in ("parent_path", "child_path", "kind", "level", "name", "value")]) for r in rows if r["rel"] == "observations"} == calls
+    assert {r["kind"] for r in rows} == set(nested.KINDS)
+    links = {(r["rel"], r["row_key"], r["parent_path"], r["child_path"]) for r in rows if r["kind"] == "object" and r["parent_path"]}
+    assert {tuple(r) for r in p5_found(spark, DATA).collect()} <= links
+    place = lambda r: [x for c in ("session_id", "line_no", "timestamp", "message") for x in (r[c] is None, r[c] or (0 if c == "line_no" else ""))]
+    first = {}
+    for r in sorted((r for r in pq.read_table(f"{DATA}/transcript.parquet").to_pylist() if r["uuid"] and r["message"] is not None), key=place):
+        first.setdefault(r["uuid"], r["message"])
+    messages = {(u, *x) for u, t in first.items() for v in [nested.parse_json(t)] if v is not nested._MISSING for x in flat(v)}
+    assert {(r["row_key"], *[r[c] for c in ("parent_path", "child_path", "kind", "level", "name", "value")]) for r in rows if r["rel"] == "transcript"} == messages

@@ -145,6 +145,12 @@ def label(root: object) -> Iterator[tuple[str, object, int, int, int, str, str |
         post += 1
 
 
+def labels_of(text: str | None) -> Iterator[tuple[str, object, int, int, int, str, str | None]]:
+    """``label`` of JSON text; nothing if there is none. ``_MISSING`` is compared here, as a copy sent to a worker is another object."""
+    root = parse_json(text)
+    return iter(()) if root is _MISSING else label(root)
+
+
 def _object_labels(root: dict) -> list[tuple[int, int, str]]:
     """(pre, post, path) of the objects alone, the root first; numbered as among all containers."""
     out: list[list] = [[0, 0, "$"]]
@@ -191,11 +197,9 @@ def shred(df: DataFrame, key_column: str, json_column: str) -> DataFrame:
                 part = batch.slice(at, 2000)
                 owner, rows = [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    root = parse_json(text)
-                    if root is not _MISSING:
-                        before = len(rows)
-                        rows += [(k, pre, post, level, path, name, scalar) for k, scalar, pre, post, level, path, name in label(root)]
-                        owner += [i] * (len(rows) - before)
+                    before = len(rows)
+                    rows += [(k, pre, post, level, path, name, scalar) for k, scalar, pre, post, level, path, name in labels_of(text)]
+                    owner += [i] * (len(rows) - before)
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), *columns], names=names)
@@ -210,17 +214,20 @@ def node_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     return {kind: nodes.filter(F.col("kind") == kind).select(*label_columns, *([typed[kind].alias("value")] if kind in typed else [])) for kind in KINDS}
 
 
-def enclosing(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """(row_key, child_pre, child_path, parent_pre, parent_path): the nearest node of ``parents`` around each child.
+def enclosing(children: DataFrame, parents: DataFrame, keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    """(row_key, child_pre, child_path, keep.., parent_pre, parent_path): the nearest node of ``parents`` around each child.
 
     One shuffle on the record's key for each side, then a map-side combined aggregate. A child without an
-    enclosing node in ``parents`` has no row.
+    enclosing node in ``parents`` has no row, or, with ``outer``, one without parent. ``keep`` are columns of
+    the children that stay.
     """
-    c = children.select("row_key", F.col("pre").alias("child_pre"), F.col("post").alias("child_post"), F.col("path").alias("child_path"))
-    p = parents.select("row_key", F.col("pre").alias("parent_pre"), F.col("post").alias("parent_post"), F.col("path").alias("parent_path"))
-    inside = c.join(p, "row_key").filter((F.col("parent_pre") < F.col("child_pre")) & (F.col("parent_post") > F.col("child_post")))
+    c = children.select("row_key", F.col("pre").alias("child_pre"), F.col("post").alias("child_post"), F.col("path").alias("child_path"), F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"))
+    p = parents.select(F.col("row_key").alias("parent_key"), F.col("pre").alias("parent_pre"), F.col("post").alias("parent_post"), F.col("path").alias("parent_path"))
+    contains = (F.col("row_key") == F.col("parent_key")) & (F.col("parent_pre") < F.col("child_pre")) & (F.col("parent_post") > F.col("child_post"))
+    inside = c.join(p, contains, "left" if outer else "inner")
     best = F.max(F.struct("parent_pre", "parent_path"))
-    return inside.groupBy("row_key", "child_pre", "child_path").agg(best.alias("p")).select("row_key", "child_pre", "child_path", "p.parent_pre", "p.parent_path")
+    found = inside.groupBy("row_key", "child_pre", "child_path").agg(best.alias("p"), F.any_value("kept").alias("kept"))
+    return found.select("row_key", "child_pre", "child_path", *[F.col("kept")[k].alias(k) for k in keep], "p.parent_pre", "p.parent_path")
 
 
 def object_links(df: DataFrame, key_column: str, json_column: str) -> DataFrame:

@@ -22,11 +22,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Every scalar leaf of a tool call with the path of its nearest object, linked by containment between stored node tables."""
-    df, key, value = _records(spark, folder)["observations"]
-    tables = node_tables(materialise(shred(df, key, value), "nodes"))
-    leaves = tables["string"].select("row_key", "pre", "post", "path").unionByName(tables["number"].select("row_key", "pre", "post", "path")).unionByName(tables["boolean"].select("row_key", "pre", "post", "path"))
-    return enclosing(leaves, tables["object"]).select("row_key", F.col("parent_path"), F.col("child_path"))
+    """Every node of a message or tool input with its kind, name, level, value and nearest object, linked by containment between stored node tables.
+
+    ``value`` is the text of a scalar as parsed, exact for any number. A root object, and nodes that no object
+    encloses, have no parent.
+    """
+    parts = []
+    for rel, (df, key, value) in _records(spark, folder).items():
+        nodes = materialise(shred(df, key, value), "nodes")
+        links = enclosing(nodes, node_tables(nodes)["object"], keep=("kind", "level", "name", "value"), outer=True)
+        parts.append(links.select(F.lit(rel).alias("rel"), "row_key", "parent_pre", "parent_path", "child_pre", "child_path", "kind", "level", "name", "value"))
+    return parts[0].unionByName(parts[1])
 
 
 QUERIES = {"p5_found": p5_found, "p5_tables": p5_tables}
