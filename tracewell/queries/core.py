@@ -40,8 +40,7 @@ def redaction_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sensitive_calls(spark: SparkSession, folder: str) -> DataFrame:
-    path = text.json_object_field("tool_input_json", "file_path")
-    return _calls(spark, folder).select("id", path.alias("path")).filter(redact.is_sensitive_path("path"))
+    return _calls(spark, folder).select("id", redact.first_path("tool_input_json").alias("path")).filter(redact.is_sensitive_path("path"))
 
 
 def masked_calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +56,7 @@ def call_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dedup_calls(spark: SparkSession, folder: str) -> DataFrame:
-    return events.dedup_windowed(_calls(spark, folder), ["tool_name", "tool_input_json"]).select("id")
+    return events.dedup_windowed(_calls(spark, folder).withColumn("call_key", text.call_key("tool_name", "tool_input_json")), ["call_key"]).select("id")
 
 
 def retained_calls(spark: SparkSession, folder: str) -> DataFrame:
