@@ -108,3 +108,23 @@ def test_the_first_test_lets_every_cue_pass(spark):
     rows = [(t, bool(CUE.search(t))) for line in lines for t in (line, line.upper(), json.dumps({"a": "x\n" + line}))]
     df = spark.createDataFrame([(t, c) for t, c in rows if c], "t string, c boolean")
     assert df.filter(~may_have_credentials(F.col("t"))).count() == 0
+
+
+def test_gates_let_every_issuer_and_layout_pass(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.llm.credentials import CUE, ISSUER_PREFIXES, find_credentials, may_have_credentials
+
+    keys = [f"{p}Ab3dE9fG7hJ2kL5mN8pQ4r" for p in ISSUER_PREFIXES]
+    assert all(CUE.search(k) for k in keys) and not CUE.search("task_id = disk_size")
+    fields = ["stripe: sk_live_Ab3dE9fG7hJ2kL5mN8pQ4r", '[mysql]\nhost = db1\npassword = vK8#pLq2zR9w\n', "password:\n  vK8#pLq2zR9w\n", '{"u": "https:\\/\\/deploy:vK8pLq2zR9w@db1.example.org\\/x"}', '{"a": "\\u0070assword = vK8#pLq2zR9w"}']
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate([*keys, *fields])], "id int, tool_input_json string, tool_response_summary string")
+    assert df.filter(~may_have_credentials(F.col("tool_input_json"))).count() == 0
+    n = len(keys)
+    got = {(r["id"], r["secret"]) for r in find_credentials(df.filter(f"id >= {n}")).collect()}
+    assert got >= {(n, "sk_live_Ab3dE9fG7hJ2kL5mN8pQ4r"), (n + 1, "vK8#pLq2zR9w"), (n + 2, "vK8#pLq2zR9w"), (n + 3, "vK8pLq2zR9w"), (n + 4, "vK8#pLq2zR9w")}
+
+
+def test_cut_json_stays_json():
+    assert segments('{"a": "x", "b": [1, tru') == [("a", "x")] and segments('[1.5e-3, "y", null, "cut') == [("", "y"), ("", "cut")]
+    assert segments('[s]\nk = "v"') == [("", '[s]\nk = "v"')]

@@ -59,9 +59,15 @@ CUES = frozenset(["PASS", "SECRET", "TOKEN", "KEY", "AUTH", "NEAR", "HASH", "ID"
 ISSUER_PREFIXES = ("sk-", "pk-", "ark-", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "AKIA", "ASIA", "eyJ", "npm_", "pypi-", "hf_", "AIza", "SG.", "rk_", "sk_")
 _CUE_TEXT = r"pass(?!ed\b)|pwd|\bpw\b|secret(?!ar)|token(?!ize)|\btok\b|key\b|key[_=:\s'\"-]|keyid|auth|bearer|basic|cred|login|hmac|signing|cookie|clave|contrase|kennwort|private|sk-|ark-|gh[pos]_|glpat|xox[bpa]-|akia|asia|eyj|hf_|aiza|npm_|pypi-"
 _FORM_TEXT = r"://[^\s/@]+@|:\d+:[^\s:]+:[^\s:]+:|\s-p[^\s-]|\s-u [^\s:]+:"
-CUE = re.compile(f"(?i){_CUE_TEXT}|{_FORM_TEXT}")
+_ISSUER_TEXT = "(?<![a-z0-9])(?:" + "|".join(re.escape(p.lower()) for p in ISSUER_PREFIXES) + ")"
+CUE = re.compile(f"(?i){_CUE_TEXT}|{_FORM_TEXT}|{_ISSUER_TEXT}")
 #: Literal parts of which every text that ``CUE`` finds has one: a cheap first test, for the JVM.
-CUE_PARTS = tuple("pass pwd pw secret tok key auth bearer basic cred login hmac signing cookie clave contrase kennwort private sk- ark- gho_ ghp_ ghs_ glpat xoxb- xoxp- xoxa- akia asia eyj hf_ aiza npm_ pypi-".split())
+CUE_PARTS = tuple("pass pwd pw secret tok key auth bearer basic cred login hmac signing cookie clave contrase kennwort private sk- ark- gho_ ghp_ ghs_ glpat xoxb- xoxp- xoxa- akia asia eyj hf_ aiza npm_ pypi-".split()) + tuple(sorted({p.lower() for p in ISSUER_PREFIXES}))
+#: A name whose value is on the next line, and a line that is one value.
+_NAME_ENDS = re.compile(r"[:=]\s*(?:[|>][-+]?|[\\\"'`(])?\s*\Z")
+_LONE_VALUE = re.compile(r"\s*[^\s:=]\S*(?<![:={(\[])\s*\Z")
+#: What JSON, also cut, has outside its strings.
+_OUTSIDE_STRINGS = re.compile(r"(?:[\s{}\[\]:,+\-.\dEe]|true|false|null)*(?:t|tr|tru|f|fa|fal|fals|n|nu|nul)?\Z")
 _BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----(?:(?!-----BEGIN )[\s\S])*?(?:-----END [A-Z0-9 ]+-----|\Z)")
 _LEXEME = re.compile(r"(\x00[^\x00]*\x00)|(\s+)|((?<=\s)-p(?=[^\s-]))|((?<=:)//)|([^\s\"'`=:,;()<>\[\]{}&?@|\\\x00]{15,}={1,2}(?=[\"'`\s;,)<&]|$))|([^\s\"'`=:,;()<>\[\]{}&?@|\\\x00]+)|(.)", re.S)
 _STRING = re.compile(r'"((?:[^"\\]|\\[\s\S])*)("|\\?\Z)(\s*:)?')
@@ -74,13 +80,13 @@ def may_have_credentials(c: Column, low: Column | None = None) -> Column:
     low, found = F.lower(c) if low is None else low, F.lit(False)
     for part in CUE_PARTS:
         found = found | low.contains(part)
-    found = found | (c.contains("://") & c.contains("@")) | c.rlike(r":[0-9]+:[^\s:]+:[^\s:]+:") | c.rlike(r"[\snt]-[pPuU]")
+    found = found | low.contains("\\u") | ((c.contains("://") | c.contains(":\\/\\/")) & c.contains("@")) | c.rlike(r":[0-9]+:[^\s:]+:[^\s:]+:") | c.rlike(r"[\snt]-[pPuU]")
     return F.coalesce(found, F.lit(False))
 
 
 def segments(field: str) -> list[tuple[str, str]]:
-    """(name, text) of a field; names are "" outside JSON objects."""
-    if field.lstrip()[:1] not in ('{', '[', '"'):
+    """(name, text) of a field; names are "" outside JSON objects. A field with other text between its strings is no JSON."""
+    if field.lstrip()[:1] not in ('{', '[', '"') or not _OUTSIDE_STRINGS.match(_STRING.sub(":", field)):
         return [("", field)]
     out, name = [], ""
     for m in _STRING.finditer(field):
@@ -463,9 +469,14 @@ def find_in_fields(model: Tagger, fields: list[str | None]) -> list[list[str]]:
                     return f"\x00{'PRIVATE' if 'PRIVATE KEY' in m.group(0)[:60] else 'OTHER'}{len(kept) - 1}\x00"
 
                 text = _BLOCK.sub(keep, text.replace("\x00", " "))
+            before = ""
             for number, line in enumerate(text.split("\n")):
                 if number == 0 and name:
                     line = f"{name}: {line}"
+                if _NAME_ENDS.search(before) and _LONE_VALUE.match(line) and CUE.search(before):
+                    line = f"{before.strip()} {line.strip()}"
+                if line.strip():
+                    before = line
                 if "\x00" in line or CUE.search(line):
                     lines.append(lexemes(line))
                     owner.append(n)
