@@ -1,18 +1,18 @@
-"""Near-duplicate records by a MinHash LSH forest (problem 3).
+"""Near-duplicate records by MinHash banding in place of an LSH forest (problem 3).
 
 1. Records with the same words form a class; one representative stands for all copies from here on.
-2. Every representative gets a label of ``longest`` min-hashes in each of ``trees`` trees. A tree is a
-   prefix trie of its sorted labels; two records meet in a tree if they share a prefix of it. From the
-   longest prefix on, the matched prefix is shortened until the expected recall at the similarity
-   threshold, 1 - (1 - s^length)^trees, reaches ``target_recall``. The join on the remaining prefix sorts
-   the labels of each tree and reads runs of equal prefixes: the nodes of the trie at that depth.
+2. The length of a label, at most ``longest`` min-hashes, is fixed before any data is seen: the longest whose
+   expected recall at the similarity threshold, 1 - (1 - s^length)^trees, reaches ``target_recall``. Every
+   representative gets one label of that length, mixed to one number, in each of ``trees`` bands; two records
+   meet in a band if their labels are equal. No trie is built and no longer prefix is tried: pairs that share
+   a longer prefix share this one too, so the pairs that meet are those of a forest cut at this depth.
 3. Pairs that meet and whose sizes allow the similarity are verified exactly on their words.
 
 The verified pairs of representatives and the class of every record are the result (``near_duplicates``).
 ``expand_pairs`` lists all pairs of records where a caller needs them.
 
-Scale: labels are one number each, made in Arrow batches; the trie join shuffles (label, id, size) and no
-text; a node is a set of records that agree in ``length`` min-hashes without being equal, and hot nodes are
+Scale: labels are one number each, made in Arrow batches; the join shuffles (label, id, size) and no
+text; a bucket is a set of records that agree in ``length`` min-hashes without being equal, and hot ones are
 split by the engine's skew join. With 6 min-hashes unrelated records (similarity 0.2) meet in a tree once
 in 16,000.
 
