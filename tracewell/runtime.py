@@ -49,6 +49,15 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def big_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join of two tables that grow with the data: always by sorted shuffles, which spill.
+
+    Catalyst guesses sizes from files, before rows are multiplied or unpacked; the hint keeps such a guess
+    from turning a growing table into a broadcast. AQE still splits skewed partitions.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
