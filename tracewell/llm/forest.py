@@ -1,20 +1,24 @@
-"""Near-duplicate records by MinHash banding in place of an LSH forest (problem 3).
+"""Near-duplicate records by a MinHash LSH forest (problem 3).
 
 1. Records with the same words form a class; one representative stands for all copies from here on.
-2. The length of a label, at most ``longest`` min-hashes, is fixed before any data is seen: the longest whose
-   expected recall at the similarity threshold, 1 - (1 - s^length)^trees, reaches ``target_recall``. Every
-   representative gets one label of that length, mixed to one number, in each of ``trees`` bands; two records
-   meet in a band if their labels are equal. No trie is built and no longer prefix is tried: pairs that share
-   a longer prefix share this one too, so the pairs that meet are those of a forest cut at this depth.
-3. Pairs that meet and whose sizes allow the similarity are verified exactly on their words.
+2. Each of ``trees`` tries holds one label of min-hashes of every representative. A trie is stored as its
+   sorted labels, cut into subtries that share the shortest prefix which may be needed; that is the longest one
+   whose recall at the similarity threshold, 1 - (1 - s^length)^trees, reaches ``target_recall``. Labels are
+   ``deeper`` min-hashes longer than it.
+3. Matched prefixes are shortened step by step, from whole labels on. A step meets the pairs of a subtrie
+   whose labels agree in exactly that many min-hashes - runs of the sorted labels - and verifies those of
+   fitting sizes on their words. A verified pair of similarity s was due to be met with probability
+   p(s) = 1 - (1 - s^length)^trees, so it stands for 1 / p(s) pairs; a relation takes no further step once
+   its verified pairs are ``target_recall`` of the upper estimate of all (two standard errors, and three
+   unseen pairs at the threshold). Few pairs give no such certainty and go down to the shortest prefix.
 
 The verified pairs of representatives and the class of every record are the result (``near_duplicates``).
 ``expand_pairs`` lists all pairs of records where a caller needs them.
 
-Scale: labels are one number each, made in Arrow batches; the join shuffles (label, id, size) and no
-text; a bucket is a set of records that agree in ``length`` min-hashes without being equal, and hot ones are
-split by the engine's skew join. With 6 min-hashes unrelated records (similarity 0.2) meet in a tree once
-in 16,000.
+Scale: labels are two numbers each, made in Arrow batches and shuffled once; subtries of one record are dropped
+and no step shuffles the others again, only the pairs met. A subtrie that a third of all records share is
+a third of one of ``trees`` tries; it is read as a sorted stream and stored in blocks of ``block`` labels, and
+the blocks of one subtrie meet each other as separate rows. No join broadcasts a table.
 
 Defined cases: null and blank texts have no words and no pairs; an id that is null is not compared; equal
 ids are told apart by their class only; ties do not occur, as all pairs at or above the threshold count.
@@ -22,46 +26,178 @@ ids are told apart by their class only; ties do not occur, as all pairs at or ab
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import big_join, materialise
 from .words import overlap, word_set
 
 #: Copies of one text are joined to their class in this many parts.
 SALTS = 16
+#: Bits of a min-hash in a label.
+SYMBOL = 16
+PAIRS_A_BATCH = 100_000
+WORDS_AT_ONCE = 200_000
 
 
-def prefix_length(threshold: float, trees: int, longest: int, target_recall: float) -> int:
+def shortest_prefix(threshold: float, trees: int, target_recall: float) -> int:
     """The longest prefix that still gives the target recall at the threshold."""
-    length = longest
-    while length > 1 and 1 - (1 - threshold**length) ** trees < target_recall:
-        length -= 1
+    length = 1
+    while 1 - (1 - threshold ** (length + 1)) ** trees >= target_recall:
+        length += 1
     return length
 
 
-def min_hash_labels(words: pd.Series, trees: int, length: int, seed: int = 20) -> list[np.ndarray]:
-    """One number a tree: the mixed first ``length`` min-hashes of each word set (none of them empty)."""
-    sizes = words.str.len().to_numpy()
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    flat = np.concatenate(words.to_numpy()).astype(np.int64).view(np.uint64)
+def forest_labels(words: np.ndarray, starts: np.ndarray, trees: int, shortest: int, deeper: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(subtrie, rest) of each word set in each tree: the tree and its first ``shortest`` min-hashes mixed to one number, and ``deeper`` more side by side.
+
+    ``words`` has the sets one after the other, none of them empty, and ``starts`` where they begin.
+    """
+    flat = words.view(np.uint64)
     random = np.random.default_rng(seed)
-    labels = np.empty((len(words), trees), np.uint64)
+    subtrie, rest = np.empty((len(starts), trees), np.uint64), np.zeros((len(starts), trees), np.uint64)
+    mixer = np.uint64(0xBF58476D1CE4E5B9)
     for tree in range(trees):
-        label = np.full(len(words), tree, np.uint64)
-        for _ in range(length):
-            a, b = random.integers(1, 1 << 63, 2, dtype=np.uint64)
-            mixed = flat * (a | np.uint64(1)) + b
-            least = np.minimum.reduceat((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15), starts)
-            label = (label ^ least) * np.uint64(0xBF58476D1CE4E5B9)
-            label ^= label >> np.uint64(29)
-        labels[:, tree] = label
-    return list(labels.view(np.int64))
-
-
-def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (3, 5), trees: int = 128, longest: int = 10, target_recall: float = 0.997) -> tuple[DataFrame, DataFrame]:
+        node = np.full(len(starts), tree, np.uint64)
+        for place in range(shortest + deeper):
+            a = random.integers(1, 1 << 63, dtype=np.uint64) | np.uint64(1)
+            symbol = (np.minimum.reduceat(flat * a, starts) * mixer) >> np.uint64(64 - SYMBOL)
+            if place < shortest:
+                node = (node ^ symbol) * mixer
+                node ^= node >> np.uint64(29)
+            else:
+                rest[:, tree] = (rest[:, tree] << np.uint64(SYMBOL)) | symbol
+        subtrie[:, tree] = node
+    return subtrie.view(np.int64), rest.view(np.int64)
+
+
+def _entries(batches: Iterator[pa.RecordBatch], trees: int, shortest: int, deeper: int) -> Iterator[pa.RecordBatch]:
+    """(rel, subtrie, rest, cid, n) of (rel, cid, words), one row a tree."""
+    for batch in batches:
+        lists = batch.column(2)
+        offsets = lists.offsets.to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + WORDS_AT_ONCE, "right")) - 1)
+            starts, flat = offsets[at:end] - offsets[at], lists.values.to_numpy(zero_copy_only=False)[offsets[at] : offsets[end]]
+            subtrie, rest = forest_labels(flat, starts, trees, shortest, deeper)
+            owner = np.repeat(np.arange(at, end), trees)
+            n = np.diff(offsets[at : end + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(subtrie.ravel()), pa.array(rest.ravel()), batch.column(1).take(pa.array(owner)), pa.array(np.repeat(n, trees), pa.int32())], names=["rel", "subtrie", "rest", "cid", "n"])
+            at = end
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (subtrie, rest, cid, n, rel) as one row for each subtrie and ``block`` labels of it; lone labels are left out."""
+    held: list[np.ndarray] | None = None
+    held_rel, number = None, 0
+    names = ["rel", "subtrie", "block", "rest", "cid", "n"]
+
+    def rows(columns: list[np.ndarray], rel: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        """Rows of the parts that begin at 0 and end at ``ends``."""
+        starts = np.concatenate([[0], ends[:-1]])
+        keep = (ends - starts > 1) | (numbers > 0)
+        lengths = (ends - starts)[keep]
+        at = np.repeat(keep, ends - starts)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[: ends[-1]][at], t)) for c, t in zip(columns[1:], (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(rel[starts[keep]], pa.string()), pa.array(columns[0][starts[keep]], pa.int64()), pa.array(numbers[keep], pa.int32()), *lists], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        rel = batch.column(4).to_numpy(zero_copy_only=False)
+        if held is not None:
+            columns, rel = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)], np.concatenate([held_rel, rel])
+        node = columns[0]
+        change = np.flatnonzero(node[1:] != node[:-1]) + 1
+        first = np.concatenate([[0], change])
+        lengths = np.diff(np.concatenate([first, [len(node)]]))
+        before = np.zeros(len(first), np.int64)
+        before[0] = number  # blocks of the first subtrie that are written already
+        parts = np.maximum(1, -(-lengths // block))
+        inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        ends = np.repeat(first, parts) + np.minimum((inner + 1) * block, np.repeat(lengths, parts))
+        numbers = np.repeat(before, parts) + inner
+        if len(ends) > 1:
+            yield rows(columns, rel, ends[:-1], numbers[:-1])
+            number = int(numbers[-1])
+            cut = int(ends[-2])
+        else:
+            number, cut = int(numbers[-1]), 0
+        held, held_rel = [c[cut:] for c in columns], rel[cut:]
+    if held is not None:
+        yield rows(held, held_rel, np.array([len(held_rel)]), np.array([number]))
+
+
+def _prefix(rest: np.ndarray, length: int, deeper: int) -> np.ndarray:
+    return rest >> (SYMBOL * (deeper - length))
+
+
+def _fitting(cid_a: np.ndarray, n_a: np.ndarray, cid_b: np.ndarray, n_b: np.ndarray, up: int, down: int) -> pa.RecordBatch:
+    fits = (up * n_a <= down * n_b) & (up * n_b <= down * n_a) & (cid_a != cid_b)
+    a, b = cid_a[fits], cid_b[fits]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["cid_a", "cid_b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], length: int, deeper: int, up: int, down: int) -> Iterator[pa.RecordBatch]:
+    """(cid_a, cid_b) of labels of one block (rest, cid, n) that agree in exactly ``length`` of the ``deeper`` min-hashes."""
+    for batch in batches:
+        lists = [batch.column(k) for k in range(3)]
+        sizes = np.diff(lists[0].offsets.to_numpy())
+        rest, cid, n = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+        run_prefix = _prefix(rest, length, deeper)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        run = np.cumsum(np.concatenate([[0], (row[1:] != row[:-1]) | (run_prefix[1:] != run_prefix[:-1])])) if len(rest) else row
+        longer = _prefix(rest, length + 1, deeper) if length < deeper else None
+        at, step, a, b, waiting = np.arange(len(rest)), 0, [], [], 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(rest)]
+            at = at[run[at] == run[at + step]]
+            met = at if longer is None else at[longer[at] != longer[at + step]]
+            a.append(met)
+            b.append(met + step)
+            waiting += len(met)
+            if waiting >= PAIRS_A_BATCH or not len(at):
+                i, j = np.concatenate(a), np.concatenate(b)
+                yield _fitting(cid[i], n[i], cid[j], n[j], up, down)
+                a, b, waiting = [], [], 0
+
+
+def _meet_across(batches: Iterator[pa.RecordBatch], length: int, deeper: int, up: int, down: int) -> Iterator[pa.RecordBatch]:
+    """The same for labels of two blocks of one subtrie (rest, cid, n of each)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ra, ca, na, rb, cb, nb = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(6))
+            same = _prefix(ra, length, deeper)[:, None] == _prefix(rb, length, deeper)[None]
+            if length < deeper:
+                same &= _prefix(ra, length + 1, deeper)[:, None] != _prefix(rb, length + 1, deeper)[None]
+            x, y = np.nonzero(same)
+            for k in range(0, len(x), PAIRS_A_BATCH):
+                p, q = x[k : k + PAIRS_A_BATCH], y[k : k + PAIRS_A_BATCH]
+                yield _fitting(ca[p], na[p], cb[q], nb[q], up, down)
+
+
+def _unmet(similarity: Column, length: int, trees: int) -> Column:
+    """The probability that a pair of this similarity does not meet within ``length`` min-hashes."""
+    return F.pow(1 - F.pow(similarity, F.lit(length)), F.lit(trees))
+
+
+def _sure(links: DataFrame, length: int, trees: int, threshold: float, target_recall: float) -> set[str]:
+    """Relations whose links found so far are surely the target share of all; one row a relation reaches the driver."""
+    q = _unmet(F.col("similarity"), length, trees)
+    sums = links.groupBy("rel").agg(F.count("*").alias("found"), F.sum(q / (1 - q)).alias("missed"), F.sum(q / ((1 - q) * (1 - q))).alias("variance")).collect()
+    unseen = 3 / (1 - (1 - threshold**length) ** trees)
+    return {r["rel"] for r in sums if r["found"] >= target_recall * (r["found"] + r["missed"] + 2 * r["variance"] ** 0.5 + unseen)}
+
+
+def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (3, 5), trees: int = 64, deeper: int = 3, target_recall: float = 0.995, block: int = 2000) -> tuple[DataFrame, DataFrame]:
     """(members, links) of ``records`` (rel, row_id, text).
 
     members: (rel, row_id, class_id), class_id being the least row_id of the records with the same words.
@@ -69,36 +205,48 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (3, 5), tre
     threshold[0] / threshold[1].
     """
     up, down = threshold
-    length = prefix_length(up / down, trees, longest, target_recall)
+    shortest = shortest_prefix(up / down, trees, target_recall)
     sets = records.filter(F.col("row_id").isNotNull()).select("rel", "row_id", word_set(F.col("text")).alias("words")).filter(F.size("words") > 0)
     sets = materialise(sets.withColumn("key", F.md5(F.concat_ws(" ", F.col("words").cast("array<string>")))), "word_sets")
-    classes = materialise(sets.groupBy("rel", "key").agg(F.min("row_id").alias("class_id"), F.any_value("words").alias("words")), "classes")
-    salted = classes.select("rel", "key", "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = sets.select("rel", "row_id", "key", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["rel", "key", "salt"]).select("rel", "row_id", "class_id")
-
-    @F.pandas_udf("array<bigint>")
-    def labels(words: pd.Series) -> pd.Series:
-        return pd.Series(min_hash_labels(words, trees, length))
-
-    entries = classes.select("rel", "class_id", F.size("words").alias("n"), F.explode(labels("words")).alias("prefix"))
-    a = entries.select("rel", "prefix", F.col("class_id").alias("class_a"), F.col("n").alias("na"))
-    b = entries.select("rel", "prefix", F.col("class_id").alias("class_b"), F.col("n").alias("nb"))
-    similar_size = (up * F.col("na") <= down * F.col("nb")) & (up * F.col("nb") <= down * F.col("na"))
-    met = a.join(b, ["rel", "prefix"]).filter((F.col("class_a") < F.col("class_b")) & similar_size).select("rel", "class_a", "class_b").distinct()
-    wa = classes.select("rel", F.col("class_id").alias("class_a"), F.col("words").alias("wa"))
-    wb = classes.select("rel", F.col("class_id").alias("class_b"), F.col("words").alias("wb"))
-    both = overlap("wa", "wb")
-    exact = down * both >= up * (F.size("wa") + F.size("wb") - both)
-    links = met.join(wa, ["rel", "class_a"]).join(wb, ["rel", "class_b"]).filter(exact).select("rel", "class_a", "class_b")
-    return members, links
+    grouped = sets.groupBy("rel", "key").agg(F.min("row_id").alias("class_id"), F.count("*").alias("copies"), F.any_value("words").alias("words"))
+    classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    copied = classes.filter("copies > 1").select("rel", "key", "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = big_join(sets.select("rel", "row_id", "key", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt")), copied, ["rel", "key", "salt"], "left")
+    members = members.select("rel", "row_id", F.coalesce("class_id", "row_id").alias("class_id"))
+
+    entries = classes.select("rel", "cid", "words").mapInArrow(lambda b: _entries(b, trees, shortest, deeper), "rel string, subtrie bigint, rest bigint, cid bigint, n int")
+    entries = entries.repartition("rel", "subtrie").sortWithinPartitions("rel", "subtrie", "rest", "cid").select("subtrie", "rest", "cid", "n", "rel")
+    forest = materialise(entries.mapInArrow(lambda b: _blocks(b, block), "rel string, subtrie bigint, block int, rest array<bigint>, cid array<bigint>, n array<int>"), "forest")
+    large = materialise(forest.filter("block > 0").select("rel", "subtrie").distinct(), "large_subtries")
+    parts = None if large.isEmpty() else materialise(big_join(forest, large, ["rel", "subtrie"], "left_semi"), "large_subtrie_blocks")
+
+    verified, done = None, set()
+    for length in range(deeper, -1, -1):
+        open_ = ~F.col("rel").isin(*done) if done else F.lit(True)
+        met = forest.filter(open_).select("rest", "cid", "n").mapInArrow(lambda b, k=length: _meet(b, k, deeper, up, down), "cid_a bigint, cid_b bigint")
+        if parts is not None:
+            other = parts.select("rel", "subtrie", *[F.col(c).alias(f"{c}_b") for c in ("block", "rest", "cid", "n")])
+            across = big_join(parts.filter(open_), other, ["rel", "subtrie"]).filter("block < block_b").repartition("rel", "subtrie", "block", "block_b").select("rest", "cid", "n", "rest_b", "cid_b", "n_b")
+            met = met.unionByName(across.mapInArrow(lambda b, k=length: _meet_across(b, k, deeper, up, down), "cid_a bigint, cid_b bigint"))
+        met = met.distinct()
+        wa = classes.select(F.col("cid").alias("cid_a"), "rel", F.col("class_id").alias("class_a"), F.col("words").alias("wa"))
+        wb = classes.select(F.col("cid").alias("cid_b"), F.col("class_id").alias("class_b"), F.col("words").alias("wb"))
+        pairs = big_join(big_join(met, wa, "cid_a"), wb, "cid_b").withColumn("both", overlap("wa", "wb")).withColumn("all", F.size("wa") + F.size("wb") - F.col("both"))
+        pairs = pairs.filter(down * F.col("both") >= up * F.col("all")).select("rel", F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), (F.col("both") / F.col("all")).alias("similarity"))
+        found = materialise(pairs, "verified")
+        # a pair may meet in one tree by a long prefix and in another by a shorter one
+        verified = found if verified is None else verified.unionByName(found).distinct()
+        if length:
+            done = done | _sure(verified, shortest + length, trees, up / down, target_recall)
+    return members, verified.select("rel", "class_a", "class_b")
 
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(rel, row_id_a, row_id_b), a < b: all pairs of records of one class or of linked classes."""
-    same = members.select("rel", F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b")).distinct()
+    same = members.filter(F.col("row_id") != F.col("class_id")).select("rel", F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b")).distinct()
     pairs = links.unionByName(same)
     a = members.select("rel", F.col("class_id").alias("class_a"), F.col("row_id").alias("a"))
     b = members.select("rel", F.col("class_id").alias("class_b"), F.col("row_id").alias("b"))
-    joined = pairs.join(a, ["rel", "class_a"]).join(b, ["rel", "class_b"])
+    joined = big_join(big_join(pairs, a, ["rel", "class_a"]), b, ["rel", "class_b"])
     kept = joined.filter((F.col("class_a") != F.col("class_b")) | (F.col("a") < F.col("b")))
     return kept.select("rel", F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import big_join, table
 from .conversations import conversation_clocks, rebuild_conversations
 from .credentials import find_credentials, redact
 from .forest import expand_pairs, near_duplicates
@@ -46,7 +46,7 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Every record with its class of equal texts and the number of other classes that class is linked to."""
     members, links = near_duplicates(_p3_records(spark, folder))
     ends = links.select("rel", F.col("class_a").alias("class_id")).unionByName(links.select("rel", F.col("class_b").alias("class_id")))
-    return members.join(ends.groupBy("rel", "class_id").agg(F.count("*").alias("links")), ["rel", "class_id"], "left").select("rel", "row_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return big_join(members, ends.groupBy("rel", "class_id").agg(F.count("*").alias("links")), ["rel", "class_id"], "left").select("rel", "row_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
