@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import redact, text
 from ..operators import confidence, detect, events, matching, merge, progress, recall, render, turns
-from ..runtime import table
+from ..runtime import big_join, table
 
 #: The question of the recall query and the day on which merges are dated.
 QUESTION = "set the cache schema before the worker can merge a stale snapshot"
@@ -52,7 +52,10 @@ def response_cuts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def call_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return _calls(spark, folder).select("id", text.call_key("tool_name", "tool_input_json").alias("call_key"))
+    """Each call with the first one of the same identity."""
+    keyed = _calls(spark, folder).select("id", text.call_key("tool_name", "tool_input_json").alias("call_key"))
+    first = keyed.groupBy("call_key").agg(F.min("id").alias("first_id"))
+    return big_join(keyed, first, "call_key").select("id", "first_id")
 
 
 def dedup_calls(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,26 +22,29 @@ def _field(c: str, name: str) -> str:
     return f"(CASE WHEN json_valid({c}) AND json_type(TRY_CAST({c} AS JSON)) = 'OBJECT' THEN TRY_CAST({c} AS JSON) ->> '$.{name}' END)"
 
 
-_FIRST_LINES = """
+#: Microseconds of a time stamp in ISO notation or of epoch milliseconds.
+_LINE_US = """CASE WHEN regexp_full_match(trim("timestamp"), '[0-9]{12,14}') THEN CAST(trim("timestamp") AS BIGINT) * 1000 ELSE epoch_us(TRY_CAST(trim("timestamp") AS TIMESTAMPTZ)) END"""
+_FIRST_LINES = f"""
+timed AS (SELECT *, {_LINE_US} AS us FROM transcript WHERE session_id IS NOT NULL),
 first_lines AS (
-  SELECT * FROM transcript WHERE uuid <> '' QUALIFY row_number() OVER (PARTITION BY session_id, uuid ORDER BY line_no NULLS FIRST, "timestamp" NULLS FIRST) = 1
-  UNION ALL SELECT * FROM transcript WHERE coalesce(uuid, '') = ''
+  SELECT * FROM timed WHERE uuid <> '' QUALIFY row_number() OVER (PARTITION BY session_id, uuid ORDER BY line_no NULLS LAST, us NULLS LAST, "timestamp" NULLS FIRST, type NULLS FIRST, message NULLS FIRST) = 1
+  UNION ALL SELECT * FROM timed WHERE coalesce(uuid, '') = ''
 ), parsed AS (
-  SELECT session_id, line_no, uuid, type, TRY_CAST(trim("timestamp") AS TIMESTAMPTZ) AS ts,
+  SELECT session_id, line_no, uuid, type, us, make_timestamptz(us) AS ts,
     CASE WHEN json_valid(message) AND json_type(TRY_CAST(message AS JSON)) = 'OBJECT' THEN json_extract(TRY_CAST(message AS JSON), '$.content') END AS content
-  FROM first_lines WHERE session_id IS NOT NULL AND line_no IS NOT NULL
+  FROM first_lines
 ), rows_ AS (
   SELECT *, type = 'user' AND coalesce(uuid, '') <> '' AND coalesce(json_type(content) = 'VARCHAR', false) AS is_prompt FROM parsed
 ), said AS (
-  SELECT session_id, line_no, uuid, ts, is_prompt,
+  SELECT session_id, line_no, uuid, us, ts, is_prompt,
     CASE WHEN json_type(content) = 'VARCHAR' THEN content ->> '$'
          WHEN json_type(content) = 'ARRAY' THEN list_aggregate([coalesce(b ->> '$.text', '') FOR b IN CAST(content AS JSON[]) IF b ->> '$.type' = 'text'], 'string_agg', chr(10)) END AS text
   FROM rows_ WHERE is_prompt OR type = 'assistant'
 ), numbered AS (
-  SELECT *, CAST(count_if(is_prompt) OVER (PARTITION BY session_id ORDER BY line_no, uuid ROWS UNBOUNDED PRECEDING) AS INTEGER) AS turn_no FROM said
+  SELECT *, CAST(count_if(is_prompt) OVER (PARTITION BY session_id ORDER BY line_no NULLS LAST, us NULLS LAST, uuid NULLS FIRST ROWS UNBOUNDED PRECEDING) AS INTEGER) AS turn_no FROM said
 ), turns AS (
   SELECT session_id, turn_no, max(uuid) FILTER (is_prompt) AS uuid, max(text) FILTER (is_prompt) AS user_, max(ts) FILTER (is_prompt) AS ts,
-    coalesce(string_agg(text, chr(10) ORDER BY line_no, uuid) FILTER (NOT is_prompt AND text <> ''), '') AS assistant_
+    coalesce(string_agg(text, chr(10) ORDER BY line_no NULLS LAST, us NULLS LAST, uuid NULLS FIRST, text) FILTER (NOT is_prompt AND text <> ''), '') AS assistant_
   FROM numbered WHERE turn_no > 0 GROUP BY session_id, turn_no
 )
 """
@@ -77,24 +80,50 @@ SELECT query_id, match_id, round(score, 9) AS score FROM s WHERE score >= 0.45 Q
 
 _SENSITIVE = " OR ".join(f"contains(lower(path), '{p}')" for p in SENSITIVE_PARTS)
 _PATH, _COMMAND = _field("tool_input_json", "file_path"), _field("tool_input_json", "command")
+#: The first object in reading order, lists not entered, that has a path field; an empty path below the root does not count.
+_FIRST_PATH = f"""
+docs AS MATERIALIZED (SELECT id, tool_input_json AS js FROM observations WHERE tool_input_json <> '' AND json_valid(tool_input_json)),
+nodes AS (
+  SELECT o.id AS call, j.id AS n, j.parent, j.key, j.type, j.fullkey, CASE WHEN j.type = 'VARCHAR' THEN j.value ->> '$' END AS text
+  FROM docs o, json_tree(o.js) j
+), held AS (
+  SELECT call, parent AS n, arg_min(text, list_position(['file_path', 'path', 'notebook_path', 'filename'], key)) AS path, min(parent) AS at_ FROM nodes
+  WHERE key IN ('file_path', 'path', 'notebook_path', 'filename') AND type = 'VARCHAR' GROUP BY call, parent
+), paths AS (
+  SELECT h.call AS id, arg_min(h.path, h.n) AS path FROM held h JOIN nodes p ON p.call = h.call AND p.n = h.n
+  WHERE p.type = 'OBJECT' AND NOT contains(p.fullkey, '[') AND (h.path <> '' OR h.n = 0) GROUP BY h.call
+)
+"""
+#: The tool and its input, as a sorted list of paths and values where it is JSON.
+_CALL_KEYS = """
+docs AS MATERIALIZED (SELECT id, tool_input_json AS js FROM observations WHERE tool_input_json <> '' AND json_valid(tool_input_json)),
+leaves AS (
+  SELECT o.id, list(j.fullkey || chr(1) || j.type || chr(1) || CASE WHEN j.type IN ('OBJECT', 'ARRAY') THEN '' ELSE coalesce(CAST(j.atom AS VARCHAR), 'null') END ORDER BY j.fullkey, j.type, j.atom) AS x
+  FROM docs o, json_tree(o.js) j GROUP BY o.id
+), call_keys AS (
+  SELECT o.id, o.ts, md5(coalesce(tool_name, '') || ':' || CASE WHEN tool_input_json IS NULL THEN '["$' || chr(1) || 'OBJECT' || chr(1) || '"]' WHEN l.id IS NOT NULL THEN CAST(to_json(x) AS VARCHAR) ELSE 'raw' || tool_input_json END) AS call_key
+  FROM observations o LEFT JOIN leaves l ON l.id = o.id
+)
+"""
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 
 SQL = {
     "redact_calls": f"SELECT id, {_redacted('tool_input_json')} AS tool_input, {_redacted('tool_response_summary')} AS response FROM observations",
     "redaction_stats": f"SELECT tool_name, count(*) AS calls, count_if(coalesce(tool_input_json <> {_redacted('tool_input_json')}, false)) AS inputs, count_if(coalesce(tool_response_summary <> {_redacted('tool_response_summary')}, false)) AS responses FROM observations GROUP BY tool_name",
-    "sensitive_calls": f"SELECT id, path FROM (SELECT id, {_PATH} AS path FROM observations) WHERE {_SENSITIVE}",
+    "sensitive_calls": f"WITH {_FIRST_PATH} SELECT id, path FROM paths WHERE {_SENSITIVE}",
     "response_cuts": f"SELECT id, {_cut('tool_response_summary', 200, '...')} AS brief FROM observations",
-    "dedup_calls": """
-WITH RECURSIVE k AS (
-  SELECT id, ts, tool_name, tool_input_json, row_number() OVER (PARTITION BY tool_name, tool_input_json ORDER BY ts, id) AS n FROM observations WHERE ts IS NOT NULL
-), fold(tool_name, tool_input_json, n, id, last, kept) AS (
-  SELECT tool_name, tool_input_json, n, id, ts, true FROM k WHERE n = 1
+    "dedup_calls": f"""
+WITH RECURSIVE {_CALL_KEYS}, k AS (
+  SELECT id, ts, call_key, row_number() OVER (PARTITION BY call_key ORDER BY ts, id) AS n FROM call_keys WHERE ts IS NOT NULL
+), fold(call_key, n, id, last, kept) AS (
+  SELECT call_key, n, id, ts, true FROM k WHERE n = 1
   UNION ALL
-  SELECT k.tool_name, k.tool_input_json, k.n, k.id, CASE WHEN k.ts >= f.last + INTERVAL 300 SECOND THEN k.ts ELSE f.last END, k.ts >= f.last + INTERVAL 300 SECOND
-  FROM fold f JOIN k ON k.n = f.n + 1 AND k.tool_name IS NOT DISTINCT FROM f.tool_name AND k.tool_input_json IS NOT DISTINCT FROM f.tool_input_json
+  SELECT k.call_key, k.n, k.id, CASE WHEN k.ts >= f.last + INTERVAL 300 SECOND THEN k.ts ELSE f.last END, k.ts >= f.last + INTERVAL 300 SECOND
+  FROM fold f JOIN k ON k.n = f.n + 1 AND k.call_key = f.call_key
 )
 SELECT id FROM fold WHERE kept UNION ALL SELECT id FROM observations WHERE ts IS NULL
 """,
+    "call_keys": f"WITH {_CALL_KEYS} SELECT id, min(id) OVER (PARTITION BY call_key) AS first_id FROM call_keys",
     "retained_calls": f"SELECT id, session_id FROM observations WHERE ts >= TIMESTAMPTZ '{NOW}+00' - INTERVAL 30 DAY",
     "incremental_scan": "SELECT id, session_id, tool_name FROM observations WHERE id > 100",
     "range_scan": "SELECT id, session_id, tool_name FROM observations WHERE ts >= TIMESTAMPTZ '2031-03-12 00:00:00+00' AND ts < TIMESTAMPTZ '2031-04-01 00:00:00+00'",
