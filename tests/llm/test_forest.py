@@ -69,9 +69,9 @@ def test_blocks_keep_all_labels_but_lone_ones():
     r = np.random.default_rng(1)
     node = np.sort(np.concatenate([np.repeat(7, 25), r.integers(100, 160, 80)]))
     cid = np.arange(len(node))
-    columns = [pa.array(node), pa.array(np.zeros(len(node), np.int64)), pa.array(cid), pa.array(np.ones(len(node), np.int32)), pa.array(["m"] * len(node))]
+    columns = [pa.array(node), pa.array(np.zeros(len(node), np.int64)), pa.array(cid), pa.array(np.ones(len(node), np.int32)), pa.array(np.zeros(len(node), np.int32))]
     for cut in (1, 4, 1000):
-        batches = pa.Table.from_arrays(columns, names=["subtrie", "rest", "cid", "n", "rel"]).to_batches(cut)
+        batches = pa.Table.from_arrays(columns, names=["subtrie", "rest", "cid", "n", "rel_no"]).to_batches(cut)
         rows = [x for b in _blocks(iter(batches), 10) for x in b.to_pylist()]
         kept = sorted(c for x in rows for c in x["cid"])
         values, counts = np.unique(node, return_counts=True)

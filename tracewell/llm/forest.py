@@ -76,7 +76,7 @@ def forest_labels(words: np.ndarray, starts: np.ndarray, trees: int, shortest: i
 
 
 def _entries(batches: Iterator[pa.RecordBatch], trees: int, shortest: int, deeper: int) -> Iterator[pa.RecordBatch]:
-    """(rel, subtrie, rest, cid, n) of (rel, cid, words), one row a tree."""
+    """(subtrie, rest, cid, n, rel_no) of (rel_no, cid, words), one row a tree; a subtrie belongs to one relation."""
     for batch in batches:
         lists = batch.column(2)
         offsets = lists.offsets.to_numpy()
@@ -85,38 +85,35 @@ def _entries(batches: Iterator[pa.RecordBatch], trees: int, shortest: int, deepe
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + WORDS_AT_ONCE, "right")) - 1)
             starts, flat = offsets[at:end] - offsets[at], lists.values.to_numpy(zero_copy_only=False)[offsets[at] : offsets[end]]
             subtrie, rest = forest_labels(flat, starts, trees, shortest, deeper)
-            owner = np.repeat(np.arange(at, end), trees)
-            n = np.diff(offsets[at : end + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(subtrie.ravel()), pa.array(rest.ravel()), batch.column(1).take(pa.array(owner)), pa.array(np.repeat(n, trees), pa.int32())], names=["rel", "subtrie", "rest", "cid", "n"])
+            rel, cid, n = batch.column(0).to_numpy()[at:end], batch.column(1).to_numpy()[at:end], np.diff(offsets[at : end + 1])
+            subtrie ^= (rel.astype(np.int64) * 0x2545F4914F6CDD1D)[:, None]
+            columns = [subtrie.ravel(), rest.ravel(), *(np.repeat(x, trees) for x in (cid, n, rel))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["subtrie", "rest", "cid", "n", "rel_no"])
             at = end
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (subtrie, rest, cid, n, rel) as one row for each subtrie and ``block`` labels of it; lone labels are left out."""
-    held: list[np.ndarray] | None = None
-    held_rel, number = None, 0
-    names = ["rel", "subtrie", "block", "rest", "cid", "n"]
+    """Sorted (subtrie, rest, cid, n, rel_no) as one row for each subtrie and ``block`` labels of it; lone labels are left out."""
+    held, number = None, 0
 
-    def rows(columns: list[np.ndarray], rel: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+    def rows(columns: list[np.ndarray], ends: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
         """Rows of the parts that begin at 0 and end at ``ends``."""
         starts = np.concatenate([[0], ends[:-1]])
         keep = (ends - starts > 1) | (numbers > 0)
         lengths = (ends - starts)[keep]
         at = np.repeat(keep, ends - starts)
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[: ends[-1]][at], t)) for c, t in zip(columns[1:], (pa.int64(), pa.int64(), pa.int32()), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(rel[starts[keep]], pa.string()), pa.array(columns[0][starts[keep]], pa.int64()), pa.array(numbers[keep], pa.int32()), *lists], names=names)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[: ends[-1]][at])) for c in columns[1:4]]
+        return pa.RecordBatch.from_arrays([pa.array(columns[4][starts[keep]]), pa.array(columns[0][starts[keep]]), pa.array(numbers[keep], pa.int32()), *lists], names=["rel_no", "subtrie", "block", "rest", "cid", "n"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-        rel = batch.column(4).to_numpy(zero_copy_only=False)
+        columns = [c.to_numpy() for c in batch.columns]
         if held is not None:
-            columns, rel = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)], np.concatenate([held_rel, rel])
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
         node = columns[0]
-        change = np.flatnonzero(node[1:] != node[:-1]) + 1
-        first = np.concatenate([[0], change])
+        first = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1])
         lengths = np.diff(np.concatenate([first, [len(node)]]))
         before = np.zeros(len(first), np.int64)
         before[0] = number  # blocks of the first subtrie that are written already
@@ -124,15 +121,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Record
         inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         ends = np.repeat(first, parts) + np.minimum((inner + 1) * block, np.repeat(lengths, parts))
         numbers = np.repeat(before, parts) + inner
+        cut, number = 0, int(numbers[-1])
         if len(ends) > 1:
-            yield rows(columns, rel, ends[:-1], numbers[:-1])
-            number = int(numbers[-1])
+            yield rows(columns, ends[:-1], numbers[:-1])
             cut = int(ends[-2])
-        else:
-            number, cut = int(numbers[-1]), 0
-        held, held_rel = [c[cut:] for c in columns], rel[cut:]
+        held = [c[cut:] for c in columns]
     if held is not None:
-        yield rows(held, held_rel, np.array([len(held_rel)]), np.array([number]))
+        yield rows(held, np.array([len(held[0])]), np.array([number]))
 
 
 def _prefix(rest: np.ndarray, length: int, deeper: int) -> np.ndarray:
@@ -208,25 +203,27 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (3, 5), tre
     shortest = shortest_prefix(up / down, trees, target_recall)
     sets = records.filter(F.col("row_id").isNotNull()).select("rel", "row_id", word_set(F.col("text")).alias("words")).filter(F.size("words") > 0)
     sets = materialise(sets.withColumn("key", F.md5(F.concat_ws(" ", F.col("words").cast("array<string>")))), "word_sets")
+    rels = sorted(r[0] for r in sets.select("rel").distinct().collect() if r[0] is not None)  # the names of a few relations
+    rel_no = F.coalesce(*[F.when(F.col("rel") == name, F.lit(i)) for i, name in enumerate(rels)], F.lit(-1)).alias("rel_no")
     grouped = sets.groupBy("rel", "key").agg(F.min("row_id").alias("class_id"), F.count("*").alias("copies"), F.any_value("words").alias("words"))
-    classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = materialise(grouped.select("*", rel_no, F.monotonically_increasing_id().alias("cid")), "classes")
     copied = classes.filter("copies > 1").select("rel", "key", "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     members = big_join(sets.select("rel", "row_id", "key", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt")), copied, ["rel", "key", "salt"], "left")
     members = members.select("rel", "row_id", F.coalesce("class_id", "row_id").alias("class_id"))
 
-    entries = classes.select("rel", "cid", "words").mapInArrow(lambda b: _entries(b, trees, shortest, deeper), "rel string, subtrie bigint, rest bigint, cid bigint, n int")
-    entries = entries.repartition("rel", "subtrie").sortWithinPartitions("rel", "subtrie", "rest", "cid").select("subtrie", "rest", "cid", "n", "rel")
-    forest = materialise(entries.mapInArrow(lambda b: _blocks(b, block), "rel string, subtrie bigint, block int, rest array<bigint>, cid array<bigint>, n array<int>"), "forest")
-    large = materialise(forest.filter("block > 0").select("rel", "subtrie").distinct(), "large_subtries")
-    parts = None if large.isEmpty() else materialise(big_join(forest, large, ["rel", "subtrie"], "left_semi"), "large_subtrie_blocks")
+    entries = classes.select("rel_no", "cid", "words").mapInArrow(lambda b: _entries(b, trees, shortest, deeper), "subtrie bigint, rest bigint, cid bigint, n int, rel_no int")
+    entries = entries.repartition("subtrie").sortWithinPartitions("subtrie", "rest")
+    forest = materialise(entries.mapInArrow(lambda b: _blocks(b, block), "rel_no int, subtrie bigint, block int, rest array<bigint>, cid array<bigint>, n array<int>"), "forest")
+    large = materialise(forest.filter("block > 0").select("subtrie").distinct(), "large_subtries")
+    parts = None if large.isEmpty() else materialise(big_join(forest, large, "subtrie", "left_semi"), "large_subtrie_blocks")
 
     verified, done = None, set()
     for length in range(deeper, -1, -1):
-        open_ = ~F.col("rel").isin(*done) if done else F.lit(True)
+        open_ = ~F.col("rel_no").isin([rels.index(x) for x in done if x is not None]) if done else F.lit(True)
         met = forest.filter(open_).select("rest", "cid", "n").mapInArrow(lambda b, k=length: _meet(b, k, deeper, up, down), "cid_a bigint, cid_b bigint")
         if parts is not None:
-            other = parts.select("rel", "subtrie", *[F.col(c).alias(f"{c}_b") for c in ("block", "rest", "cid", "n")])
-            across = big_join(parts.filter(open_), other, ["rel", "subtrie"]).filter("block < block_b").repartition("rel", "subtrie", "block", "block_b").select("rest", "cid", "n", "rest_b", "cid_b", "n_b")
+            other = parts.select("subtrie", *[F.col(c).alias(f"{c}_b") for c in ("block", "rest", "cid", "n")])
+            across = big_join(parts.filter(open_), other, "subtrie").filter("block < block_b").repartition("subtrie", "block", "block_b").select("rest", "cid", "n", "rest_b", "cid_b", "n_b")
             met = met.unionByName(across.mapInArrow(lambda b, k=length: _meet_across(b, k, deeper, up, down), "cid_a bigint, cid_b bigint"))
         met = met.distinct()
         wa = classes.select(F.col("cid").alias("cid_a"), "rel", F.col("class_id").alias("class_a"), F.col("words").alias("wa"))
