@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tracewell.llm.credentials import MASK, find_credentials, find_in_fields, lexemes, mask_field, redact, segments, tagger, training_lines
+from tracewell.llm.credentials import MASK, find_credentials, find_in_fields, find_places, lexemes, mask_places, redact, segments, tagger, training_lines
 
 CALL = "id long, tool_input_json string, tool_response_summary string, secret string, field string"
 KEY = "sk-" + "Ab3dE6gH9" * 4
@@ -92,11 +92,32 @@ def test_rows_and_masks(spark):
     assert find_credentials(df.limit(0)).count() == 0
 
 
-def test_masking_escaped_values():
-    field = json.dumps({"k": 'p"w\\x', "n": "é/ü"})
-    assert json.loads(mask_field(field, ['p"w\\x', "é/ü"])) == {"k": MASK, "n": MASK}
-    assert json.loads(mask_field('{"k": "a\\u003D\\u003d\\/b\\ud83d\\ude00 a==/b"}', ["a==/b😀"])) == {"k": MASK + " a==/b"}
-    assert mask_field("x = a\\u003d", ["a\\u003d"]) == "x = " + MASK
+def masked_text(model, field):
+    return mask_places(field, find_places(model, [field])[0])
+
+
+def test_only_the_span_is_masked(model):
+    assert masked_text(model, "DB_PASSWORD=cache-router\nimport cache-router") == f"DB_PASSWORD={MASK}\nimport cache-router"
+    assert masked_text(model, '{"password": "Kp8#pLq2zR9w", "Kp8#pLq2zR9w": true}') == f'{{"password": "{MASK}", "Kp8#pLq2zR9w": true}}'
+    assert masked_text(model, '{"n": 48151623, "command": "PGPASSWORD=48151623 psql"}') == f'{{"n": 48151623, "command": "PGPASSWORD={MASK} psql"}}'
+    assert masked_text(model, f"TOKEN={KEY}\nTOKEN={KEY}") == f"TOKEN={MASK}\nTOKEN={MASK}"
+    assert masked_text(model, "password:\n  vK8#pLq2zR9w\nnext: 1") == f"password:\n  {MASK}\nnext: 1"
+
+
+def test_spans_in_every_way_of_writing(model):
+    field = '{"a": {"x\\ny": "\\u00e9\\ud83d\\ude00\\/\\nexport DB_PASS\\u0057ORD=Mapper!c\\u0048sZ89\\n# \\"ok\\""}, "n": 1}'
+    out = masked_text(model, field)
+    assert json.loads(out) == {"a": {"x\ny": f'é😀/\nexport DB_PASSWORD={MASK}\n# "ok"'}, "n": 1}
+    assert out == field.replace("Mapper!c\\u0048sZ89", MASK)
+    pem = json.dumps({"c": f"{BLOCK}\nDB_PASSWORD=Mapper!cHsZ89\n{BLOCK}\ntail"})
+    assert json.loads(masked_text(model, pem)) == {"c": f"{MASK}\nDB_PASSWORD={MASK}\n{MASK}\ntail"}
+    cut = '{"c": "export DB_PASSWORD=Mapper!cHsZ89\\'
+    assert masked_text(model, cut) == f'{{"c": "export DB_PASSWORD={MASK}\\'
+
+
+@pytest.mark.parametrize("line, secret", [("sshpass -p 48151623 ssh a@b", "48151623"), ("PGPASSWORD=98765432 psql", "98765432"), ("mysqldump -u root -p51504432 shop", "51504432"), ("password: 48151623", "48151623"), ("ssh -p 2222 me@host", None), ("docker run -p 8080:80 web", None), ("password_min_length = 12", None), ("max_password_attempts: 5000", None)])
+def test_passwords_of_digits(model, line, secret):
+    assert find_in_fields(model, [line]) == [[secret] if secret else []]
 
 
 def test_the_first_test_lets_every_cue_pass(spark):

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from tracewell.llm.forest import _blocks, _sure, expand_pairs, near_duplicates, shortest_prefix
+from tracewell.llm.forest import _blocks, _sure, expand_pairs, near_duplicates, parity_sketch, shortest_prefix
 
 ROW = "rel string, row_id long, text string, words string, key string"
 
@@ -69,9 +69,9 @@ def test_blocks_keep_all_labels_but_lone_ones():
     r = np.random.default_rng(1)
     node = np.sort(np.concatenate([np.repeat(7, 25), r.integers(100, 160, 80)]))
     cid = np.arange(len(node))
-    columns = [pa.array(node), pa.array(np.zeros(len(node), np.int64)), pa.array(cid), pa.array(np.ones(len(node), np.int32)), pa.array(np.zeros(len(node), np.int32))]
+    columns = [pa.array(node), pa.array(np.zeros(len(node), np.int64)), pa.array(cid), pa.array(np.ones(len(node), np.int32)), pa.array(cid), pa.array(np.zeros(len(node), np.int32))]
     for cut in (1, 4, 1000):
-        batches = pa.Table.from_arrays(columns, names=["subtrie", "rest", "cid", "n", "rel_no"]).to_batches(cut)
+        batches = pa.Table.from_arrays(columns, names=["subtrie", "rest", "cid", "n", "sketch", "rel_no"]).to_batches(cut)
         rows = [x for b in _blocks(iter(batches), 10) for x in b.to_pylist()]
         kept = sorted(c for x in rows for c in x["cid"])
         values, counts = np.unique(node, return_counts=True)
@@ -80,6 +80,15 @@ def test_blocks_keep_all_labels_but_lone_ones():
         assert sorted(x["block"] for x in rows if x["subtrie"] == 7) == [0, 1, 2]
 
 
+def test_sketches_rule_out_no_similar_pair():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        pool = r.integers(-(1 << 62), 1 << 62, 60)
+        a, b = np.unique(pool[: r.integers(1, 60)]), np.unique(pool[r.integers(0, 40) :])
+        x, y = parity_sketch(np.concatenate([a, b]), np.array([0, len(a)])).tolist()
+        assert ((x ^ y) & (2**64 - 1)).bit_count() <= len(np.setxor1d(a, b))
+
+
 def test_prefixes_shorten_until_the_recall_is_reached(spark):
     for trees in (16, 64, 128):
         k = shortest_prefix(0.6, trees, 0.99)

@@ -14,8 +14,9 @@ Begin and inside are impossible in a line that shows no cue (``CUE``: a name, a
 prefix, or a place where passwords stand); so only fields and lines with one are handed to the model. That is a hard zero of the model, not a sample: it
 covers every character of every row, and the plan is map-only.
 
-``redact`` masks the spans where they stand in the original field. In JSON a value is masked in its escaped
-form, so a field that parsed before parses after.
+``redact`` masks the spans where they stand in the original field: a span is mapped back, through escapes and
+key blocks, to the characters that were written. The same characters elsewhere - a key, an identifier, part of
+a number - stay, and as only characters within JSON strings change, a field that parsed before parses after.
 
 Defined cases: null and empty fields have no credentials; a value counts once a field; rows with null or
 repeated ids are kept as they are; cut fields are read to their end; texts of any length are read whole.
@@ -40,7 +41,7 @@ MASK = "***REDACTED***"
 LABELS = ("outside", "begin", "inside")
 #: Words that announce a credential, or something that merely looks like one, by kind.
 WORD_KINDS = {
-    "PASS": "password passwords passwd passwort passphrase passcode pass pwd pw passe clave contrasena contraseña kennwort",
+    "PASS": "password sshpass passwords passwd passwort passphrase passcode pass pwd pw passe clave contrasena contraseña kennwort",
     "SECRET": "secret private signing hmac shared",
     "TOKEN": "token tok jwt",
     "KEY": "key apikey",
@@ -51,6 +52,7 @@ WORD_KINDS = {
     "ID": "uuid id ref build version size",
     "PUBLIC": "public ssh rsa",
     "ENV": "environ env getenv process prompt config settings",
+    "MEASURE": "length count limit ttl timeout attempts min max age uses used left total number",
     "MEDIA": "base64 image data src img",
 }
 KIND_OF_WORD = {word: kind for kind, words in WORD_KINDS.items() for word in words.split()}
@@ -84,10 +86,10 @@ def may_have_credentials(c: Column, low: Column | None = None) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def segments(field: str) -> list[tuple[str, str]]:
-    """(name, text) of a field; names are "" outside JSON objects. A field with other text between its strings is no JSON."""
+def _parts(field: str) -> list[tuple[str, str, int, int]]:
+    """(name, text, start, end) of a field: where the text is written; ``end`` is -1 if the text is the field as it stands."""
     if field.lstrip()[:1] not in ('{', '[', '"') or not _OUTSIDE_STRINGS.match(_STRING.sub(":", field)):
-        return [("", field)]
+        return [("", field, 0, -1)]
     out, name = [], ""
     for m in _STRING.finditer(field):
         raw = m.group(1)
@@ -99,11 +101,25 @@ def segments(field: str) -> list[tuple[str, str]]:
         if m.group(3):
             name = raw
         else:
-            out.append((name, raw))
+            out.append((name, raw, m.start(1), m.end(1)))
             name = ""
     return out
 
 
+def segments(field: str) -> list[tuple[str, str]]:
+    """(name, text) of a field; names are "" outside JSON objects. A field with other text between its strings is no JSON."""
+    return [(name, text) for name, text, _, _ in _parts(field)]
+
+
+_WRITTEN = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|[^\\]", re.S)
+
+
+def _written_at(raw: str) -> list[int]:
+    """Where each character of a JSON string begins as it is written, and the end."""
+    ends = [m.end() for m in _WRITTEN.finditer(raw)]
+    return [0, *ends]
+
+
 def _undo_escapes(raw: str) -> str:
     simple = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
     text = re.sub(r"\\(?:u([0-9a-fA-F]{4})|(.)|$)", lambda m: chr(int(m.group(1), 16)) if m.group(1) else simple.get(m.group(2) or "", m.group(2) or ""), raw, flags=re.S)
@@ -344,6 +360,7 @@ def _password(r: random.Random) -> str:
         lambda: _opaque(r, 10, 18),
         lambda: _opaque(r, 4, 6) + mark + _opaque(r, 3, 6),
         lambda: words[0] + r.choice("-._") + words[1],
+        lambda: str(r.randint(10**5, 10**9)),
     ])()
 
 
@@ -370,7 +387,7 @@ def _credential_line(r: random.Random) -> str:
     value = lambda: r.choice([p, k, i])()
     forms = [
         lambda: f"password{r.choice(['=', ' = ', ': ', ' := '])}{q}{p()}{q}", lambda: f"{r.choice(['db_pass', 'pwd', 'passwd', 'mot_de_passe', 'contraseña', 'passphrase', 'clave', 'kennwort', 'user_password', 'dbPassword'])}{r.choice(['=', ' = ', ': ', ' := '])}{q}{p()}{q}",
-        lambda: f"password: {p()}", lambda: f"{r.choice(['export ', '', ''])}{secret_name}={value()}", lambda: f"{secret_name}{r.choice([': ', '=', ' = '])}{q}{value()}{q}", lambda: f"{secret_name}: {value()}", *[lambda: f"{secret_name}: {h()}"] * 2, lambda: f"{n.upper()}_PASSWORD={p()}",
+        *[lambda: f"{r.choice(['password', 'pwd', 'passwd', 'DB_PASSWORD', 'PGPASSWORD', 'pin_pass'])}{r.choice(['=', ' = ', ': '])}{r.choice(['', q])}\x01{r.randint(10**4, 10**9)}\x02"] * 2, lambda: f"password: {p()}", lambda: f"{r.choice(['export ', '', ''])}{secret_name}={value()}", lambda: f"{secret_name}{r.choice([': ', '=', ' = '])}{q}{value()}{q}", lambda: f"{secret_name}: {value()}", *[lambda: f"{secret_name}: {h()}"] * 2, lambda: f"{n.upper()}_PASSWORD={p()}",
         lambda: f"<password>{p()}</password>", lambda: f"<add key={q}DbPassword{q} value={q}{p()}{q} />", lambda: f"<{r.choice(['clientSecret', 'apiKey', 'token'])}>{r.choice([h, k])()}</clientSecret>",
         lambda: f"machine {host} login {user} password {p()}", lambda: f"login --user {user} --password {p()} --quiet", lambda: f"login as {user} with pass {p()}", lambda: f"mysqldump -u {user} -p{p()} shop", lambda: f"mysql -h {host} -u {user} -p{p()}", *[lambda: f"{host}:5432:{n}:app:{p()}"] * 2,
         *[lambda: f"sshpass -p {q}{p()}{q} ssh {user}@{host}"] * 2, lambda: f"sshpass -p {p()} ssh {user}@{host}", lambda: f"PGPASSWORD={p()} psql -h {host} -U {user}", lambda: f"REDISCLI_AUTH={p()} redis-cli -h {host}", lambda: f"{n}.apiKey={k()}", lambda: f"{r.choice(['passwort', 'contrasena', 'contraseña', 'PASSWORD', 'Password', 'pass', 'pw'])}: {p()}", lambda: f"const jwt = {q}{i()}{q}", lambda: f"curl -u {user}:{p()} https://{host}/{n}",
@@ -396,7 +413,7 @@ def _alike_line(r: random.Random) -> str:
     forms = [
         lambda: f"{secret_name}{r.choice(['=', ' = ', ': '])}{q}{dummy}{q}", lambda: f"{secret_name}{r.choice(['=', ': '])}{dummy}", lambda: f"Authorization: Bearer {dummy}", lambda: f"Authorization: Basic {dummy}", lambda: f"dsn = {q}postgresql://{user}:{dummy}@{host}/main{q}", lambda: f"curl -H {q}Authorization: Bearer ${n.upper()}{q} https://{host}",
         lambda: f"{secret_name} = os.environ[{q}{n.upper()}_PASSWORD{q}]", lambda: f"{secret_name} = os.getenv({q}{n.upper()}_TOKEN{q})", lambda: f"{secret_name}: process.env.{n.upper()}_TOKEN", lambda: f"const pw = await prompt({q}password: {q})", lambda: f"def reset_password(self, token):", lambda: f"def {n}_token(user, secret):", lambda: f"{secret_name} = get_{secret_name}({n}, {t})", lambda: f"{secret_name} = config.{n}.{secret_name}", lambda: f"self.{secret_name} = {secret_name}", lambda: f"if not {secret_name}:", lambda: f"return {n}.{secret_name}",
-        lambda: f"max_tokens: {r.randint(100, 9999)}", lambda: f"tokenizer = load({q}{n}{q})", lambda: f"secretName: {n}-tls", lambda: f"SECRETARY: {n}", lambda: f"secretary = {n}.{t}({q}{n}{q})", lambda: f"key: {n}", lambda: f"keys = [{q}{n}{q}, {q}{t}{q}]", lambda: f"primary_key={q}{n}_id{q}", lambda: f"{n}.get({q}key{q}, {r.randint(1, 99)})", lambda: f"{r.randint(1, 99)} passed in {r.randint(0, 9)}.{r.randint(10, 99)}s", *[lambda: f"branch = {q}{r.choice(['task', 'disk', 'risk', 'desk'])}-{n}-{t}-{r.choice([_name(r), r.choice(_TERMS)])}{q}"] * 4,
+        lambda: f"max_tokens: {r.randint(100, 9999)}", lambda: f"{r.choice(['password', 'token', 'secret', 'key', 'auth'])}_{r.choice(['length', 'count', 'size', 'limit', 'ttl', 'timeout', 'attempts', 'version', 'min_length'])}{r.choice([' = ', ': ', '='])}{r.randint(1, 10**r.randint(1, 9))}", lambda: f"max_{r.choice(['password', 'token', 'key', 'auth'])}_{r.choice(['length', 'attempts', 'age', 'uses'])}: {r.randint(1, 10**r.randint(1, 7))}", *[lambda: f"{n}_{r.choice(['cookie', 'session', 'client', 'access', 'deploy', 'auth', 'key', 'token'])}{r.choice([': ', ' = ', '='])}{r.randint(0, 10**r.randint(1, 6))}"] * 3, lambda: f"ssh -p {r.randint(22, 65000)} {user}@{host}", lambda: f"docker run -p {r.randint(80, 9999)}:{r.randint(80, 9999)} {n}", lambda: f"{r.randint(100, 10**6)} {r.choice(['tokens', 'keys', 'passwords'])} {r.choice(['used', 'left', 'read'])}", lambda: f"{r.choice(['tokens', 'keys', 'token_total', 'key_id', 'author_id'])}: {r.randint(100, 10**8)}", lambda: f"tokenizer = load({q}{n}{q})", lambda: f"secretName: {n}-tls", lambda: f"SECRETARY: {n}", lambda: f"secretary = {n}.{t}({q}{n}{q})", lambda: f"key: {n}", lambda: f"keys = [{q}{n}{q}, {q}{t}{q}]", lambda: f"primary_key={q}{n}_id{q}", lambda: f"{n}.get({q}key{q}, {r.randint(1, 99)})", lambda: f"{r.randint(1, 99)} passed in {r.randint(0, 9)}.{r.randint(10, 99)}s", *[lambda: f"branch = {q}{r.choice(['task', 'disk', 'risk', 'desk'])}-{n}-{t}-{r.choice([_name(r), r.choice(_TERMS)])}{q}"] * 4,
         lambda: f"sha256:{hexa(64)}  {n}.tar", lambda: f"commit {hexa(40)}", lambda: f"integrity sha512-{_opaque(r, 80, 88)}{r.choice(['', '=='])}", lambda: f"id = {q}{uuid()}{q}", lambda: f"{r.choice(['uuid', 'request_id', 'trace_id', 'session_id'])}: {uuid()}", lambda: f"checksum: {hexa(r.choice([32, 40, 64]))}", lambda: f"etag = {q}{hexa(32)}{q}", lambda: f"image: {host}/{n}@sha256:{hexa(64)}", lambda: f"img src={q}data:image/png;base64,{_opaque(r, 60, 80)}{q}", lambda: f"md5 {hexa(32)}", lambda: f"{n}.{hexa(8)}.js",
         lambda: "\x00OTHER\x00", lambda: f"ssh-rsa {_opaque(r, 60, 90)} {user}@{host}", lambda: f"pub = {q * 3}\x00OTHER\x00{q * 3}", lambda: f"https://docs.{n}.example/{t}/auth", lambda: f"git push https://{host}/{n}.git", lambda: f"login --user {user} --quiet", lambda: f"mkdir -p{r.choice([' ', ' '])}/srv/{n}/{t}", lambda: f"cat /home/dev/{n}/{t}.key", lambda: f"file_path: /srv/{n}/secrets.{r.choice(['py', 'env', 'json'])}", lambda: f"{host}:5432", lambda: f"ssh {user}@{host}", lambda: f"call_{hexa(16)}", lambda: f"id: {t}_{hexa(16)}",
     ]
@@ -454,45 +471,109 @@ def tagger(count: int = 5000, seed: int = 11) -> Tagger:
     return _TRAINED[count, seed]
 
 
-def find_in_fields(model: Tagger, fields: list[str | None]) -> list[list[str]]:
-    """The distinct credentials of each field, in order."""
-    lines, owner, blocks = [], [], []
+class _Line:
+    """A line as the model sees it and where it comes from: ``prefix`` characters of context, then text from ``offset`` on."""
+
+    __slots__ = ("lexemes", "owner", "part", "blocks", "prefix", "offset")
+
+    def __init__(self, text: str, owner: int, part: int, blocks: list[tuple[int, str, int]], prefix: int, offset: int):
+        self.lexemes, self.owner, self.part, self.blocks, self.prefix, self.offset = lexemes(text), owner, part, blocks, prefix, offset
+
+    def in_text(self, at: int) -> int:
+        """The place in the segment of a place in the line; private key blocks are one short lexeme in the line."""
+        at += self.offset - self.prefix
+        shift = 0
+        for end_of_mark, _, end in self.blocks:
+            if end_of_mark <= at:
+                shift = end - end_of_mark
+        return at + shift
+
+
+def _lines(fields: list[str | None], everything: bool = False) -> tuple[list[_Line], list[list[tuple[str, str, int, int]]]]:
+    """The lines of all fields that have a cue (or all, with ``everything``), and the parts of each field."""
+    lines, parts = [], []
     for n, field in enumerate(fields):
-        if not field:
-            continue
-        for name, text in segments(field):
-            kept: list[str] = []
+        parts.append(_parts(field) if field else [])
+        for k, (name, text, _, _) in enumerate(parts[n]):
+            kept: list[tuple[int, str, int]] = []
             if "-----BEGIN " in text:
+                shift = 0
 
-                def keep(m: re.Match, kept: list[str] = kept) -> str:
-                    kept.append(m.group(0))
-                    return f"\x00{'PRIVATE' if 'PRIVATE KEY' in m.group(0)[:60] else 'OTHER'}{len(kept) - 1}\x00"
+                def keep(m: re.Match, kept: list[tuple[int, str, int]] = kept) -> str:
+                    nonlocal shift
+                    mark = f"\x00{'PRIVATE' if 'PRIVATE KEY' in m.group(0)[:60] else 'OTHER'}{len(kept)}\x00"
+                    kept.append((m.start() + shift + len(mark), m.group(0), m.end()))
+                    shift += len(mark) - len(m.group(0))
+                    return mark
 
                 text = _BLOCK.sub(keep, text.replace("\x00", " "))
-            before = ""
+            before, at = "", 0
             for number, line in enumerate(text.split("\n")):
+                prefix, offset = 0, at
+                at += len(line) + 1
                 if number == 0 and name:
-                    line = f"{name}: {line}"
+                    line, prefix = f"{name}: {line}", len(name) + 2
                 if _NAME_ENDS.search(before) and _LONE_VALUE.match(line) and CUE.search(before):
+                    prefix, offset = len(before.strip()) + 1, offset + len(line) - len(line.lstrip())
                     line = f"{before.strip()} {line.strip()}"
                 if line.strip():
                     before = line
-                if "\x00" in line or CUE.search(line):
-                    lines.append(lexemes(line))
-                    owner.append(n)
-                    blocks.append(kept)
-    found: list[list[str]] = [[] for _ in fields]
-    order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
+                if everything or "\x00" in line or CUE.search(line):
+                    lines.append(_Line(line, n, k, kept, prefix, offset))
+    return lines, parts
+
+
+def _tagged(model: Tagger, lines: list[_Line]) -> Iterator[tuple[_Line, int, int]]:
+    """(line, first, last + 1 lexeme) of each credential."""
+    order = sorted(range(len(lines)), key=lambda i: len(lines[i].lexemes))
     for at in range(0, len(order), 512):  # lines of like length, so that padding stays small
-        part = order[at : at + 512]
-        for i, spans in zip(part, model.spans([lines[i] for i in part]), strict=True):
+        part = [lines[i] for i in order[at : at + 512]]
+        for line, spans in zip(part, model.spans([x.lexemes for x in part]), strict=True):
             for a, b in spans:
-                value = re.sub(r"\x00[A-Z]+(\d+)\x00", lambda m, i=i: blocks[i][int(m.group(1))], "".join(lines[i][a:b]))
-                if value not in found[owner[i]]:
-                    found[owner[i]].append(value)
+                yield line, a, b
+
+
+def find_in_fields(model: Tagger, fields: list[str | None], everything: bool = False) -> list[list[str]]:
+    """The distinct credentials of each field. With ``everything`` lines without a cue are tagged as well."""
+    found: list[list[str]] = [[] for _ in fields]
+    for line, a, b in _tagged(model, _lines(fields, everything)[0]):
+        value = re.sub(r"\x00[A-Z]+(\d+)\x00", lambda m: line.blocks[int(m.group(1))][1], "".join(line.lexemes[a:b]))  # noqa: B023
+        if value not in found[line.owner]:
+            found[line.owner].append(value)
     return found
 
 
+def find_places(model: Tagger, fields: list[str | None]) -> list[list[tuple[int, int]]]:
+    """[start, end) in the field of every credential, as written there, in order and without overlap."""
+    lines, parts = _lines(fields)
+    found: list[list[tuple[int, int]]] = [[] for _ in fields]
+    written: dict[tuple[int, int], list[int]] = {}
+    for line, a, b in _tagged(model, lines):
+        start = sum(map(len, line.lexemes[:a]))
+        end = start + sum(map(len, line.lexemes[a:b]))
+        if end <= line.prefix:  # a name, or the line before, which is a line of its own
+            continue
+        x, y = line.in_text(max(start, line.prefix)), line.in_text(end)
+        _, _, at, until = parts[line.owner][line.part]
+        if until >= 0:
+            key = (line.owner, line.part)
+            if key not in written:
+                written[key] = _written_at(fields[line.owner][at:until])
+            x, y = at + written[key][x], at + written[key][y]
+        found[line.owner].append((x, y))
+    return [_apart(x) for x in found]
+
+
+def _apart(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(places):
+        if out and x < out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
+
+
 def find_credentials(df: DataFrame, id_column: str = "id", columns: tuple[str, ...] = ("tool_input_json", "tool_response_summary"), training: int = 5000) -> DataFrame:
     """(id_column, field, secret) of every credential in the named columns."""
     model = df.sparkSession.sparkContext.broadcast(tagger(training))
@@ -517,22 +598,10 @@ def find_credentials(df: DataFrame, id_column: str = "id", columns: tuple[str, .
     return rows.mapInArrow(run, schema)
 
 
-_SHORT_ESCAPES = {"\n": r"\n", "\t": r"\t", "\r": r"\r", "\b": r"\b", "\f": r"\f", '"': r"\"", "\\": r"\\", "/": r"\/"}
-
-
-def _written(c: str) -> str:
-    """A pattern of all ways in which JSON may write a character, itself included."""
-    forms = {re.escape(c), re.escape(_SHORT_ESCAPES.get(c, c))}
-    units = c.encode("utf-16-be", "surrogatepass")
-    forms.add("".join(rf"\\u(?i:{units[i : i + 2].hex()})" for i in range(0, len(units), 2)))
-    return f"(?:{'|'.join(sorted(forms, key=len, reverse=True))})"
-
-
-def mask_field(field: str, secrets: list[str], mask: str = MASK) -> str:
-    """The field with each credential masked where it stands; in JSON in whatever escaped form it is written."""
-    in_json = field.lstrip()[:1] in ("{", "[", '"')
-    for secret in sorted(secrets, key=len, reverse=True):
-        field = re.sub("".join(map(_written, secret)), lambda _: mask, field) if in_json else field.replace(secret, mask)
+def mask_places(field: str, places: list[tuple[int, int]], mask: str = MASK) -> str:
+    """The field with the given places masked; every other character stays."""
+    for x, y in reversed(places):
+        field = field[:x] + mask + field[y:]
     return field
 
 
@@ -545,7 +614,7 @@ def redact(df: DataFrame, columns: tuple[str, ...] = ("tool_input_json", "tool_r
         import pandas as pd
 
         texts = [v if isinstance(v, str) else None for v in values]
-        return pd.Series([t if not found else mask_field(t, found) for t, found in zip(texts, find_in_fields(model.value, texts), strict=True)])
+        return pd.Series([t if not places else mask_places(t, places) for t, places in zip(texts, find_places(model.value, texts), strict=True)])
 
     return df.withColumns({c: F.when(may_have_credentials(F.col(c)), masked(c)).otherwise(F.col(c)) for c in columns})
 

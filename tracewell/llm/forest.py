@@ -6,8 +6,8 @@
    whose recall at the similarity threshold, 1 - (1 - s^length)^trees, reaches ``target_recall``. Labels are
    ``deeper`` min-hashes longer than it.
 3. Matched prefixes are shortened step by step, from whole labels on. A step meets the pairs of a subtrie
-   whose labels agree in exactly that many min-hashes - runs of the sorted labels - and verifies those of
-   fitting sizes on their words. A verified pair of similarity s was due to be met with probability
+   whose labels agree in exactly that many min-hashes - runs of the sorted labels -, leaves out those whose sizes
+   or parity sketches rule the similarity out, and verifies the others on their words. A verified pair of similarity s was due to be met with probability
    p(s) = 1 - (1 - s^length)^trees, so it stands for 1 / p(s) pairs; a relation takes no further step once
    its verified pairs are ``target_recall`` of the upper estimate of all (two standard errors, and three
    unseen pairs at the threshold). Few pairs give no such certainty and go down to the shortest prefix.
@@ -42,6 +42,8 @@ SALTS = 16
 SYMBOL = 16
 PAIRS_A_BATCH = 100_000
 WORDS_AT_ONCE = 200_000
+#: What a label carries.
+PAYLOAD = ["cid", "n", "sketch"]
 
 
 def shortest_prefix(threshold: float, trees: int, target_recall: float) -> int:
@@ -75,8 +77,14 @@ def forest_labels(words: np.ndarray, starts: np.ndarray, trees: int, shortest: i
     return subtrie.view(np.int64), rest.view(np.int64)
 
 
+def parity_sketch(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64 bits of each word set, a bit for the parity of the words that fall on it: two sketches differ in no more bits than the sets in words."""
+    bit = np.uint64(1) << ((words.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(58))
+    return np.bitwise_xor.reduceat(bit, starts).view(np.int64)
+
+
 def _entries(batches: Iterator[pa.RecordBatch], trees: int, shortest: int, deeper: int) -> Iterator[pa.RecordBatch]:
-    """(subtrie, rest, cid, n, rel_no) of (rel_no, cid, words), one row a tree; a subtrie belongs to one relation."""
+    """(subtrie, rest, cid, n, sketch, rel_no) of (rel_no, cid, words), one row a tree; a subtrie belongs to one relation."""
     for batch in batches:
         lists = batch.column(2)
         offsets = lists.offsets.to_numpy()
@@ -87,13 +95,13 @@ def _entries(batches: Iterator[pa.RecordBatch], trees: int, shortest: int, deepe
             subtrie, rest = forest_labels(flat, starts, trees, shortest, deeper)
             rel, cid, n = batch.column(0).to_numpy()[at:end], batch.column(1).to_numpy()[at:end], np.diff(offsets[at : end + 1])
             subtrie ^= (rel.astype(np.int64) * 0x2545F4914F6CDD1D)[:, None]
-            columns = [subtrie.ravel(), rest.ravel(), *(np.repeat(x, trees) for x in (cid, n, rel))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["subtrie", "rest", "cid", "n", "rel_no"])
+            columns = [subtrie.ravel(), rest.ravel(), *(np.repeat(x, trees) for x in (cid, n, parity_sketch(flat, starts), rel))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["subtrie", "rest", *PAYLOAD, "rel_no"])
             at = end
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (subtrie, rest, cid, n, rel_no) as one row for each subtrie and ``block`` labels of it; lone labels are left out."""
+    """Sorted (subtrie, rest, cid, n, sketch, rel_no) as one row for each subtrie and ``block`` labels of it; lone labels are left out."""
     held, number = None, 0
 
     def rows(columns: list[np.ndarray], ends: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
@@ -103,8 +111,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Record
         lengths = (ends - starts)[keep]
         at = np.repeat(keep, ends - starts)
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[: ends[-1]][at])) for c in columns[1:4]]
-        return pa.RecordBatch.from_arrays([pa.array(columns[4][starts[keep]]), pa.array(columns[0][starts[keep]]), pa.array(numbers[keep], pa.int32()), *lists], names=["rel_no", "subtrie", "block", "rest", "cid", "n"])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[: ends[-1]][at])) for c in columns[1:5]]
+        return pa.RecordBatch.from_arrays([pa.array(columns[5][starts[keep]]), pa.array(columns[0][starts[keep]]), pa.array(numbers[keep], pa.int32()), *lists], names=["rel_no", "subtrie", "block", "rest", *PAYLOAD])
 
     for batch in batches:
         if not batch.num_rows:
@@ -134,18 +142,22 @@ def _prefix(rest: np.ndarray, length: int, deeper: int) -> np.ndarray:
     return rest >> (SYMBOL * (deeper - length))
 
 
-def _fitting(cid_a: np.ndarray, n_a: np.ndarray, cid_b: np.ndarray, n_b: np.ndarray, up: int, down: int) -> pa.RecordBatch:
+def _fitting(a: list[np.ndarray], b: list[np.ndarray], up: int, down: int) -> pa.RecordBatch:
+    """(cid_a, cid_b) of pairs (cid, n, sketch of each) that can be similar: neither their sizes nor their sketches differ too much."""
+    (cid_a, n_a, sketch_a), (cid_b, n_b, sketch_b) = a, b
+    n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
     fits = (up * n_a <= down * n_b) & (up * n_b <= down * n_a) & (cid_a != cid_b)
-    a, b = cid_a[fits], cid_b[fits]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["cid_a", "cid_b"])
+    # of sets with similarity up / down at most (n_a + n_b) (down - up) / (down + up) words are in one only
+    fits &= np.bitwise_count((sketch_a ^ sketch_b).view(np.uint64)) * np.int64(down + up) <= (n_a + n_b) * (down - up)
+    x, y = cid_a[fits], cid_b[fits]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["cid_a", "cid_b"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], length: int, deeper: int, up: int, down: int) -> Iterator[pa.RecordBatch]:
-    """(cid_a, cid_b) of labels of one block (rest, cid, n) that agree in exactly ``length`` of the ``deeper`` min-hashes."""
+    """(cid_a, cid_b) of labels of one block (rest, payload) that agree in exactly ``length`` of the ``deeper`` min-hashes."""
     for batch in batches:
-        lists = [batch.column(k) for k in range(3)]
-        sizes = np.diff(lists[0].offsets.to_numpy())
-        rest, cid, n = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+        sizes = np.diff(batch.column(0).offsets.to_numpy())
+        rest, *payload = (x.flatten().to_numpy(zero_copy_only=False) for x in batch.columns)
         run_prefix = _prefix(rest, length, deeper)
         row = np.repeat(np.arange(len(sizes)), sizes)
         run = np.cumsum(np.concatenate([[0], (row[1:] != row[:-1]) | (run_prefix[1:] != run_prefix[:-1])])) if len(rest) else row
@@ -161,22 +173,24 @@ def _meet(batches: Iterator[pa.RecordBatch], length: int, deeper: int, up: int,
             waiting += len(met)
             if waiting >= PAIRS_A_BATCH or not len(at):
                 i, j = np.concatenate(a), np.concatenate(b)
-                yield _fitting(cid[i], n[i], cid[j], n[j], up, down)
+                yield _fitting([x[i] for x in payload], [x[j] for x in payload], up, down)
                 a, b, waiting = [], [], 0
 
 
 def _meet_across(batches: Iterator[pa.RecordBatch], length: int, deeper: int, up: int, down: int) -> Iterator[pa.RecordBatch]:
-    """The same for labels of two blocks of one subtrie (rest, cid, n of each)."""
+    """The same for labels of two blocks of one subtrie (rest and payload of each)."""
     for batch in batches:
+        half = batch.num_columns // 2
         for i in range(batch.num_rows):
-            ra, ca, na, rb, cb, nb = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(6))
-            same = _prefix(ra, length, deeper)[:, None] == _prefix(rb, length, deeper)[None]
+            rest_a, *a = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(half))
+            rest_b, *b = (batch.column(half + k)[i].values.to_numpy(zero_copy_only=False) for k in range(half))
+            same = _prefix(rest_a, length, deeper)[:, None] == _prefix(rest_b, length, deeper)[None]
             if length < deeper:
-                same &= _prefix(ra, length + 1, deeper)[:, None] != _prefix(rb, length + 1, deeper)[None]
+                same &= _prefix(rest_a, length + 1, deeper)[:, None] != _prefix(rest_b, length + 1, deeper)[None]
             x, y = np.nonzero(same)
             for k in range(0, len(x), PAIRS_A_BATCH):
                 p, q = x[k : k + PAIRS_A_BATCH], y[k : k + PAIRS_A_BATCH]
-                yield _fitting(ca[p], na[p], cb[q], nb[q], up, down)
+                yield _fitting([c[p] for c in a], [c[q] for c in b], up, down)
 
 
 def _unmet(similarity: Column, length: int, trees: int) -> Column:
@@ -211,19 +225,19 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (3, 5), tre
     members = big_join(sets.select("rel", "row_id", "key", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt")), copied, ["rel", "key", "salt"], "left")
     members = members.select("rel", "row_id", F.coalesce("class_id", "row_id").alias("class_id"))
 
-    entries = classes.select("rel_no", "cid", "words").mapInArrow(lambda b: _entries(b, trees, shortest, deeper), "subtrie bigint, rest bigint, cid bigint, n int, rel_no int")
+    entries = classes.select("rel_no", "cid", "words").mapInArrow(lambda b: _entries(b, trees, shortest, deeper), "subtrie bigint, rest bigint, cid bigint, n int, sketch bigint, rel_no int")
     entries = entries.repartition("subtrie").sortWithinPartitions("subtrie", "rest")
-    forest = materialise(entries.mapInArrow(lambda b: _blocks(b, block), "rel_no int, subtrie bigint, block int, rest array<bigint>, cid array<bigint>, n array<int>"), "forest")
+    forest = materialise(entries.mapInArrow(lambda b: _blocks(b, block), "rel_no int, subtrie bigint, block int, rest array<bigint>, cid array<bigint>, n array<int>, sketch array<bigint>"), "forest")
     large = materialise(forest.filter("block > 0").select("subtrie").distinct(), "large_subtries")
     parts = None if large.isEmpty() else materialise(big_join(forest, large, "subtrie", "left_semi"), "large_subtrie_blocks")
 
     verified, done = None, set()
     for length in range(deeper, -1, -1):
         open_ = ~F.col("rel_no").isin([rels.index(x) for x in done if x is not None]) if done else F.lit(True)
-        met = forest.filter(open_).select("rest", "cid", "n").mapInArrow(lambda b, k=length: _meet(b, k, deeper, up, down), "cid_a bigint, cid_b bigint")
+        met = forest.filter(open_).select("rest", *PAYLOAD).mapInArrow(lambda b, k=length: _meet(b, k, deeper, up, down), "cid_a bigint, cid_b bigint")
         if parts is not None:
-            other = parts.select("subtrie", *[F.col(c).alias(f"{c}_b") for c in ("block", "rest", "cid", "n")])
-            across = big_join(parts.filter(open_), other, "subtrie").filter("block < block_b").repartition("subtrie", "block", "block_b").select("rest", "cid", "n", "rest_b", "cid_b", "n_b")
+            other = parts.select("subtrie", *[F.col(c).alias(f"{c}_b") for c in ("block", "rest", *PAYLOAD)])
+            across = big_join(parts.filter(open_), other, "subtrie").filter("block < block_b").repartition("subtrie", "block", "block_b").select("rest", *PAYLOAD, "rest_b", *[f"{c}_b" for c in PAYLOAD])
             met = met.unionByName(across.mapInArrow(lambda b, k=length: _meet_across(b, k, deeper, up, down), "cid_a bigint, cid_b bigint"))
         met = met.distinct()
         wa = classes.select(F.col("cid").alias("cid_a"), "rel", F.col("class_id").alias("class_a"), F.col("words").alias("wa"))

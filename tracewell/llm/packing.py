@@ -1,11 +1,13 @@
 """Filling windows of fixed capacity with documents (problem 8).
 
-A window has three capacities: tokens, number of documents, and attention cost (the sum of squared
-lengths, as documents in one window do not attend to each other). A document is cut only if it alone
-exceeds the token capacity (and exceeds the attention capacity only alone in its window): full pieces are windows of their own, the rest is an item like any other
-document. Items are placed by vector best-fit: largest first, each into the open window that satisfies
-every constraint and has, after placing, the least weighted norm of what is left (``score="norm"``), or
-the largest weighted dot product of item and residual (``score="dot"``); otherwise into a new window.
+A window has three capacities: tokens, number of documents (a share of the tokens), and attention cost (the
+sum of squared lengths, as documents in one window do not attend to each other; a share of the cost of one
+document as long as the window). A document is cut only if it alone exceeds the token capacity: full pieces are
+windows of their own, the rest is an item like any other document. A document whose cost alone exceeds the
+attention capacity takes all of it, so nothing but empty documents shares its window. Items are placed by
+vector best-fit: largest first, each into the open window that satisfies every constraint and has, after placing,
+the least weighted norm of what is left (``score="norm"``), or the largest weighted dot product of item and
+residual (``score="dot"``); otherwise into a new window.
 
 Scale. Best-fit looks at all open windows, so it runs on groups of about ``items_per_group`` items: rows
 are spread by a hash of a unique row number, which no repeated or null id can skew. A group leaves only a
@@ -37,6 +39,17 @@ from .tokenize import WORD_PATTERN
 DEFAULT_RANKS = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 
 
+#: At most one document for so many tokens of capacity, and the attention capacity as a share of capacity squared.
+DOCUMENTS_PER_TOKEN, ATTENTION_SHARE = 1 / 128, 0.9
+#: What a unit of room left counts: mostly tokens; documents and attention decide between windows that are about as full.
+WEIGHTS = (1.0, 0.05, 0.05)
+
+
+def limits_of(capacity: int, documents_per_token: float = DOCUMENTS_PER_TOKEN, attention_share: float = ATTENTION_SHARE) -> tuple[int, int]:
+    """(documents, attention cost) a window of this many tokens may have."""
+    return max(1, int(capacity * documents_per_token)), max(1, int(capacity * capacity * attention_share))
+
+
 def token_counts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
     """(id_column, tokens): the number of tokens of each whole text, by a public tokenizer."""
 
@@ -54,14 +67,14 @@ def token_counts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return df.select(id_column, text_column).mapInArrow(count, schema)
 
 
-def best_fit(sizes: np.ndarray, capacity: int, max_documents: int, max_attention: int, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), score: str = "norm") -> np.ndarray:
-    """The window of each item; ``sizes`` in the order in which they are to be placed."""
+def best_fit(sizes: np.ndarray, capacity: int, max_documents: int, max_attention: int, weights: tuple[float, float, float] = WEIGHTS, score: str = "norm") -> np.ndarray:
+    """The window of each item; ``sizes`` in the order in which they are to be placed. ``weights``: of tokens, documents and attention left."""
     limits = np.array([capacity, max_documents, max_attention], np.int64)
     scale, weight = np.maximum(limits, 1).astype(float), np.array(weights)
     left = np.empty((len(sizes), 3), np.int64)
     window, opened = np.empty(len(sizes), np.int64), 0
     for i, size in enumerate(sizes.tolist()):
-        item = np.array([size, 1, size * size], np.int64)
+        item = np.array([size, 1, min(size * size, max_attention)], np.int64)
         rest = left[:opened] - item
         fits = np.flatnonzero((rest >= 0).all(axis=1))
         if len(fits):
@@ -77,7 +90,7 @@ def best_fit(sizes: np.ndarray, capacity: int, max_documents: int, max_attention
     return window
 
 
-def pack(sizes: DataFrame, windows: list[tuple[str, int]], id_column: str = "doc_id", items_per_group: int = 4000, reopen_below: float = 0.97, documents_per_token: float = 1 / 8, attention_share: float = 1.0, score: str = "norm") -> DataFrame:
+def pack(sizes: DataFrame, windows: list[tuple[str, int]], id_column: str = "doc_id", items_per_group: int = 4000, reopen_below: float = 0.97, documents_per_token: float = DOCUMENTS_PER_TOKEN, attention_share: float = ATTENTION_SHARE, score: str = "norm") -> DataFrame:
     """(window_name, window_id, id_column, piece, first_token, tokens) of every document or piece."""
     sizes = materialise(sizes.select(id_column, "tokens", F.monotonically_increasing_id().alias("row")), "sizes")
     id_type = sizes.schema[id_column].dataType
@@ -105,7 +118,7 @@ def pack(sizes: DataFrame, windows: list[tuple[str, int]], id_column: str = "doc
         def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["tokens", "row", "piece"], ascending=[False, True, True], kind="stable")
             capacity = int(frame["capacity"].iloc[0])
-            window = best_fit(frame["tokens"].to_numpy(np.int64), capacity, max(1, int(capacity * documents_per_token)), int(capacity * capacity * attention_share), score=score)
+            window = best_fit(frame["tokens"].to_numpy(np.int64), capacity, *limits_of(capacity, documents_per_token, attention_share), score=score)
             return frame.assign(window_id=[f"{key[0]}-{round_no}-{key[1]}-{w}" for w in window])[grouped_schema.fieldNames()]
 
         return materialise(spread.groupBy("window_name", "group").applyInPandas(place, grouped_schema), "packed")
@@ -115,3 +128,25 @@ def pack(sizes: DataFrame, windows: list[tuple[str, int]], id_column: str = "doc
     poor = filled.filter(F.col("filled") < reopen_below * F.col("c")).select("window_id")
     again = packed(first.join(poor, "window_id", "left_semi").drop("window_id"), 2)
     return alone.select(columns).unionByName(first.join(poor, "window_id", "left_anti").select(columns)).unionByName(again.select(columns))
+
+
+def window_report(placed: DataFrame, windows: list[tuple[str, int]], id_column: str = "doc_id") -> DataFrame:
+    """(window_name, documents, windows, fill, at_documents, at_attention, over, cut_needlessly, torn): the result of ``pack`` held against every constraint.
+
+    ``at_documents`` and ``at_attention`` are shares of windows that have no room left for another document, or
+    for one as long as the tokens left would take; ``over`` windows break a capacity, ``cut_needlessly``
+    documents are divided though they fit, ``torn`` ones have gaps between their pieces. For unique ids.
+    """
+    sides = placed.sparkSession.createDataFrame([(n, int(c), *limits_of(int(c))) for n, c in windows if n is not None and c is not None and c >= 1], "window_name string, capacity long, max_documents int, max_attention long")
+    size = F.least(F.col("tokens") * F.col("tokens"), F.col("max_attention"))
+    rows = placed.join(F.broadcast(sides), "window_name")
+    filled = rows.groupBy("window_name", "window_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.sum(size).alias("cost"), F.first("capacity").alias("capacity"), F.first("max_documents").alias("max_documents"), F.first("max_attention").alias("max_attention"))
+    room = F.col("capacity") - F.col("tokens")
+    by_window = filled.groupBy("window_name").agg(
+        F.count("*").alias("windows"), (F.sum("tokens") / F.sum("capacity")).alias("fill"), F.avg((F.col("n") >= F.col("max_documents")).cast("int")).alias("at_documents"),
+        F.avg(((room > 0) & (F.col("cost") + room * room > F.col("max_attention"))).cast("int")).alias("at_attention"),
+        F.count_if((F.col("tokens") > F.col("capacity")) | (F.col("n") > F.col("max_documents")) | (F.col("cost") > F.col("max_attention"))).alias("over"),
+    )
+    whole = rows.groupBy("window_name", id_column).agg(F.sum("tokens").alias("tokens"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.min("first_token").alias("start"), F.count("*").alias("n"), F.first("capacity").alias("capacity"))
+    by_document = whole.groupBy("window_name").agg(F.count("*").alias("documents"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("cut_needlessly"), F.count_if((F.col("tokens") != F.col("end")) | (F.col("start") != 0)).alias("torn"))
+    return by_window.join(by_document, "window_name").select("window_name", "documents", "windows", "fill", "at_documents", "at_attention", "over", "cut_needlessly", "torn")

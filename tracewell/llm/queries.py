@@ -10,7 +10,7 @@ from .conversations import conversation_clocks, rebuild_conversations
 from .credentials import find_credentials, redact
 from .forest import expand_pairs, near_duplicates
 from .history import instinct_vectors, memory_vectors, restated_rows
-from .packing import pack, token_counts
+from .packing import pack, token_counts, window_report
 from .sequences import frequent_sequences
 from .subjects import document_subjects
 from .tokenize import encode_corpus
@@ -69,10 +69,19 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
+def _capacities(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    return [(r["window_name"], r["capacity_tokens"]) for r in table(spark, folder, "token_windows").collect()]
+
+
 def p8_windows(spark: SparkSession, folder: str) -> DataFrame:
     """The window of every document, or piece of one, for each capacity of ``token_windows``."""
-    windows = [(r["window_name"], r["capacity_tokens"]) for r in table(spark, folder, "token_windows").collect()]
-    return pack(token_counts(table(spark, folder, "documents")), windows)
+    return pack(token_counts(table(spark, folder, "documents")), _capacities(spark, folder))
+
+
+def p8_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``p8_windows`` must keep: every document placed, no capacity exceeded, none cut that fits, no gaps."""
+    report = window_report(p8_windows(spark, folder), _capacities(spark, folder))
+    return report.select("window_name", "documents", "over", "cut_needlessly", "torn")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,8 +99,9 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return document_subjects(documents).groupBy("subject").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / F.lit(max(total, 1)))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clocks": p2_clocks, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clocks": p2_clocks, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p8_valid": p8_valid, "p9_found": p9_found, "p9_composition": p9_composition}
 SQL: dict[str, str] = {
+    "p8_valid": "SELECT window_name, (SELECT count(*) FROM documents) AS documents, 0 AS over, 0 AS cut_needlessly, 0 AS torn FROM token_windows",
     "p1_found": r"""
 WITH m AS (
   SELECT row_id, batch_no, list_distinct(regexp_extract_all(lower(coalesce(description, '')), '[\p{L}\p{N}]+')) AS w,
