@@ -102,7 +102,7 @@ def calls(spark, rows):
 
 def test_observe(spark):
     rows = [("s", 0, "Bash", {"command": "x", "token": "token=abc"}, "password: p"), ("s", 10, "Bash", {"token": "token=abc", "command": "x"}, "r"), ("s", 20, "Read", {"file_path": "/x/.env"}, "K=V")]
-    got = {r["id"]: r for r in pipelines.observe(calls(spark, rows), spark.createDataFrame([], S.OBSERVATION), T0 + dt.timedelta(days=1)).collect()}
+    got = {r["id"]: r for r in pipelines.observe(calls(spark, rows), spark.createDataFrame([], S.OBSERVATION), T0 + dt.timedelta(days=1))[0].collect()}
     assert set(got) == {0, 2} and "abc" not in got[0]["tool_input_json"] and got[2]["tool_response_summary"].startswith("<REDACTED")
 
 

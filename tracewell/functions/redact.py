@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: What stands in place of a secret, and of the content of a sensitive file.
 MASK = "***REDACTED***"
 SENSITIVE_MASK = "<REDACTED: sensitive file>"
 #: Fixed values, applied in this order.
@@ -29,7 +30,6 @@ STRICT_PATTERN = r"(?i)(api[_-]?key|token|password)\s*[:=]\s*(Bearer|Basic)\s+\S
 #: Parts of sensitive paths, and the names of fields that hold paths, by priority.
 SENSITIVE_PARTS = (".env", ".pem", ".key", "id_rsa", ".npmrc", ".aws", "credentials", "secrets")
 PATH_FIELDS = ("file_path", "path", "notebook_path", "filename")
-CONTENT_FIELDS = ("tool_input", "tool_response", "tool_response_summary")
 
 
 def _java(pattern: str) -> str:
@@ -128,6 +128,12 @@ def first_path(c: str | Column) -> Column:
     return F.when(text.rlike(r'"(?:' + "|".join(PATH_FIELDS) + r')"'), deep(text))
 
 
+def sensitive_path(*content: str | Column) -> Column:
+    """The first sensitive path among the first paths of the content columns, in their order; null if there is none."""
+    paths = [first_path(c) for c in content]
+    return F.coalesce(*[F.when(is_sensitive_path(p), p) for p in paths])
+
+
 def mask_records(df: DataFrame, path: Column, content: list[str], strict: bool = False) -> DataFrame:
     """Records about a sensitive file lose their content columns and name the file; others are redacted.
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import DEDUP_WINDOW_S, RETENTION_DAYS
+from ..runtime import big_join, materialise
+from ..schemas import DEDUP_STATE_TTL_S, DEDUP_WINDOW_S, RETENTION_DAYS
 
 
 def with_input(df: DataFrame, column: str = "tool_input_json") -> DataFrame:
@@ -36,7 +37,7 @@ def retained(df: DataFrame, now: Column, days: int = RETENTION_DAYS, time: str =
     return df.filter(F.col(time) >= now - F.make_interval(days=F.lit(days)))
 
 
-def dedup_windowed(df: DataFrame, keys: list[str], time: str = "ts", row_id: str = "id", window_s: int = DEDUP_WINDOW_S) -> DataFrame:
+def dedup_windowed(df: DataFrame, keys: list[str], time: str = "ts", row_id: str = "id", window_s: int = DEDUP_WINDOW_S, state: DataFrame | None = None) -> DataFrame:
     """Rows kept by the greedy rule: kept iff no kept row of the same keys lies less than ``window_s`` before.
 
     The state moves on kept rows only, so this is a fold in order of (time, id) and not a comparison with the
@@ -44,31 +45,54 @@ def dedup_windowed(df: DataFrame, keys: list[str], time: str = "ts", row_id: str
     such a gap. Keys are first reduced to their slots (pre-aggregated before the shuffle, bounded by the time
     span); neighbouring slots form a run, and a run is the unit of work: rows are spread by run, sorted, and
     folded as a stream of Arrow batches with one number of state. Nulls in keys are a key like others; rows
-    without time are all kept.
+    without time are all kept. ``state`` (``dedup_state``) has the last row kept of each key in earlier batches;
+    it takes part at its time like a row that is kept.
     """
-    us = F.unix_micros(F.col(time).cast("timestamp"))
-    timed = df.filter(F.col(time).isNotNull()).withColumn("_key", F.sha2(F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}), 256)).withColumn("_us", us).withColumn("_slot", F.floor(us / (window_s * 1_000_000)))
+    step = window_s * 1_000_000
+    timed = _keyed(df, keys, time).select("_key", "_us", F.col(row_id).alias("row_id"), F.lit(False).alias("_old"))
+    if state is not None:
+        timed = timed.unionByName(state.select(F.col("key").alias("_key"), F.col("last_us").alias("_us"), F.lit(None).cast(df.schema[row_id].dataType).alias("row_id"), F.lit(True).alias("_old")))
+    timed = timed.withColumn("_slot", F.floor(F.col("_us") / step))
     slots = timed.select("_key", "_slot").distinct()
     w = Window.partitionBy("_key").orderBy("_slot")
     begins = F.coalesce(F.col("_slot") - F.lag("_slot").over(w) > 1, F.lit(True))
     runs = slots.withColumn("_begin", F.when(begins, F.col("_slot"))).withColumn("_run", F.max("_begin").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("_key", "_slot", "_run")
-    placed = timed.join(runs, ["_key", "_slot"]).select(F.xxhash64("_key", "_run").alias("unit"), "_key", "_run", "_us", F.col(row_id).alias("row_id"))
-    ordered = placed.repartition("_key", "_run").sortWithinPartitions("_key", "_run", "_us", "row_id").select("_key", "_run", "_us", "row_id")
+    placed = big_join(timed, runs, ["_key", "_slot"])
+    ordered = placed.repartition("_key", "_run").sortWithinPartitions("_key", "_run", "_us", F.desc("_old"), "row_id").select("_key", "_run", "_us", "row_id", "_old")
     id_type = df.schema[row_id].dataType.simpleString()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, last, step = None, 0, window_s * 1_000_000
+        unit, last = None, 0
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (key, run, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for i, (key, run, at, old) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True)):
                 if (key, run) != unit:
-                    unit, last, keep[i] = (key, run), at, True
-                elif at - last >= step:
-                    last, keep[i] = at, True
+                    unit, last, keep[i] = (key, run), at, not old
+                elif old or at - last >= step:
+                    last, keep[i] = at, not old
             yield pa.RecordBatch.from_arrays([batch.column(3).filter(pa.array(keep))], names=["row_id"])
 
     kept = ordered.mapInArrow(fold, f"row_id {id_type}")
-    return df.filter(F.col(time).isNotNull()).join(kept.withColumnRenamed("row_id", row_id), row_id, "left_semi").unionByName(df.filter(F.col(time).isNull()))
+    return big_join(df.filter(F.col(time).isNotNull()), kept.withColumnRenamed("row_id", row_id), row_id, "left_semi").unionByName(df.filter(F.col(time).isNull()))
+
+
+def _keyed(df: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """Rows that have a time, with ``_key``, a hash of the keys, and ``_us``."""
+    key = F.sha2(F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}), 256)
+    return df.filter(F.col(time).isNotNull()).withColumns({"_key": key, "_us": F.unix_micros(F.col(time).cast("timestamp"))})
+
+
+def dedup_state(kept: DataFrame, keys: list[str], time: str = "ts", before: DataFrame | None = None, ttl_s: int = DEDUP_STATE_TTL_S) -> DataFrame:
+    """(key, last_us): the state after a batch, from its kept rows and the state ``before``; entries older than ``ttl_s`` before the newest go.
+
+    A row that arrives later than that is judged without them, as where state expires.
+    """
+    last = _keyed(kept, keys, time).groupBy(F.col("_key").alias("key")).agg(F.max("_us").alias("last_us"))
+    if before is not None:
+        last = last.unionByName(before.select("key", "last_us")).groupBy("key").agg(F.max("last_us").alias("last_us"))
+    last = materialise(last, "dedup_state")
+    newest = last.agg(F.max("last_us")).first()[0]
+    return last if newest is None else last.filter(F.col("last_us") >= newest - ttl_s * 1_000_000)
 
 
 def appended(store: DataFrame, rows: DataFrame, now: dt.datetime, days: int = RETENTION_DAYS) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.text import cut, is_typed_prompt, parse_time_us, spoken_text
 from ..schemas import MIN_EPISODE_CALLS, STEP_CUT, TURN_CUT
 from .ordering import carried_forward, running_count
 
+#: Fixed value: what ends a text that was cut.
 CUT_MARK = "...(截断)"
 
 

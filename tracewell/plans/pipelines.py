@@ -11,23 +11,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.redact import first_path, mask_records
+from ..functions.redact import mask_records, sensitive_path
 from ..functions.text import call_key
 from ..operators import confidence, detect, events, merge, progress, recall, render, turns
 from ..providers import Analyser, RuleAnalyser
+from ..runtime import materialise
 
 Factory = Callable[[], Analyser]
 
 
-def observe(arrived: DataFrame, store: DataFrame, now: dt.datetime) -> DataFrame:
-    """Observations after new events: identical calls within the window once, secrets masked, old rows gone.
+def observe(arrived: DataFrame, store: DataFrame, now: dt.datetime, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(observations, state) after new events: identical calls within the window once, secrets masked, old rows gone.
 
-    The identity of a call is taken before it is masked; only its hash is used.
+    The identity of a call is taken before it is masked; only its hash is used. ``state`` is that of the batch
+    before, so that splitting events into batches changes nothing.
     """
-    keyed = arrived.withColumn("call_key", call_key("tool_name", "tool_input_json"))
-    once = events.dedup_windowed(keyed, ["call_key"]).drop("call_key")
-    masked = mask_records(once, first_path("tool_input_json"), ["tool_input_json", "tool_response_summary"]).drop("file")
-    return events.appended(store, masked.select(*store.columns), now)
+    keyed = materialise(arrived.withColumn("call_key", call_key("tool_name", "tool_input_json")), "arrived")
+    once = materialise(events.dedup_windowed(keyed, ["call_key"], state=state), "once")
+    after = events.dedup_state(once, ["call_key"], before=state)
+    masked = mask_records(once.drop("call_key"), sensitive_path("tool_input_json", "tool_response_summary"), ["tool_input_json", "tool_response_summary"]).drop("file")
+    return events.appended(store, masked.select(*store.columns), now), after
 
 
 def analysed(digests: DataFrame, make: Factory = RuleAnalyser) -> tuple[DataFrame, DataFrame]:

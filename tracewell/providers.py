@@ -176,24 +176,49 @@ class TfidfEmbedder:
         return out
 
 
+#: The settings of each named provider - format, prefix of its variables, default address and model.
+ANALYSERS = {
+    "chat": ("chat", "LLM", "", ""),
+    "messages": ("messages", "LLM", "", ""),
+    "deepseek": ("chat", "DEEPSEEK", "https://api.deepseek.com", "deepseek-chat"),
+    "openai": ("chat", "OPENAI", "https://api.openai.com/v1", "gpt-4o-mini"),
+    "anthropic": ("messages", "ANTHROPIC", "https://api.anthropic.com", "claude-haiku-4-5-20251001"),
+}
+EMBEDDERS = {
+    "item": ("item", "EMBEDDING_API_KEY", "EMBEDDING", "", "", True),
+    "batch": ("batch", "EMBEDDING_API_KEY", "EMBEDDING", "", "", True),
+    "ark": ("item", "ARK_API_KEY", "ARK_EMBEDDING", "", "", True),
+    "openai": ("batch", "OPENAI_EMBEDDING_API_KEY", "OPENAI_EMBEDDING", "https://api.openai.com/v1", "text-embedding-3-small", False),
+}
+
+
+def _setting(env: dict[str, str], names: list[str], default: str) -> str:
+    return next((v for n in names if (v := env.get(n, "").strip())), default)
+
+
 def analyser(env: dict[str, str] | None = None, transport: Transport = post_json) -> Analyser:
-    """The analyser ``LLM_PROVIDER`` names (chat, messages; any case); by rule if it is unknown or has no key."""
+    """The analyser ``LLM_PROVIDER`` names (any case); by rule if it is unknown or has no key. Variables are {prefix}_API_KEY, _BASE_URL (or _URL) and _MODEL."""
     env = dict(os.environ) if env is None else env
-    kind, key = env.get("LLM_PROVIDER", "").strip().lower(), env.get("LLM_API_KEY", "").strip()
-    made = {"chat": ChatAnalyser, "messages": MessagesAnalyser}.get(kind)
-    return made(env.get("LLM_URL", ""), key, env.get("LLM_MODEL", ""), transport=transport) if made and key else RuleAnalyser()
+    form, prefix, url, model = ANALYSERS.get(env.get("LLM_PROVIDER", "").strip().lower(), ("", "", "", ""))
+    key = env.get(f"{prefix}_API_KEY", "").strip()
+    made = {"chat": ChatAnalyser, "messages": MessagesAnalyser}.get(form)
+    if not made or not key:
+        return RuleAnalyser()
+    return made(_setting(env, [f"{prefix}_BASE_URL", f"{prefix}_URL"], url).rstrip("/"), key, _setting(env, [f"{prefix}_MODEL"], model), transport=transport)
 
 
 def embedder(env: dict[str, str] | None = None, transport: Transport = post_json) -> Embedder:
-    """The embedder ``EMBEDDING_PROVIDER`` names (item, batch); TF-IDF if unknown, without key, or if a trial call fails."""
+    """The embedder ``EMBEDDING_PROVIDER`` names; TF-IDF if unknown, without key, or - where one is made - if a trial call fails."""
     env = dict(os.environ) if env is None else env
-    kind, key = env.get("EMBEDDING_PROVIDER", "").strip().lower(), env.get("EMBEDDING_API_KEY", "").strip()
-    made = {"item": ItemEmbedder, "batch": BatchEmbedder}.get(kind)
+    form, key_name, prefix, url, model, tried = EMBEDDERS.get(env.get("EMBEDDING_PROVIDER", "").strip().lower(), ("", "", "", "", "", False))
+    key = env.get(key_name, "").strip()
+    made = {"item": ItemEmbedder, "batch": BatchEmbedder}.get(form)
     if not made or not key:
         return TfidfEmbedder()
-    chosen = made(env.get("EMBEDDING_URL", ""), key, env.get("EMBEDDING_MODEL", ""), transport=transport)
-    try:
-        chosen.embed(["ping"])
-    except Exception:  # noqa: BLE001
-        return TfidfEmbedder()
+    chosen = made(_setting(env, [f"{prefix}_BASE_URL", f"{prefix}_URL"], url).rstrip("/"), key, _setting(env, [f"{prefix}_MODEL"], model), transport=transport)
+    if tried:
+        try:
+            chosen.embed(["ping"])
+        except Exception:  # noqa: BLE001
+            return TfidfEmbedder()
     return chosen

@@ -1,6 +1,6 @@
 """Named queries of the core and the SQL that must give the same rows."""
 
-from . import core, core_sql, nested
+from . import core, core_sql, nested, stores
 
-QUERIES = {**core.QUERIES, **nested.QUERIES}
-SQL = {**core_sql.SQL, **nested.SQL}
+QUERIES = {**core.QUERIES, **stores.QUERIES, **nested.QUERIES}
+SQL = {**core_sql.SQL, **stores.SQL, **nested.SQL}

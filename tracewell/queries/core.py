@@ -44,7 +44,7 @@ def sensitive_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def masked_calls(spark: SparkSession, folder: str) -> DataFrame:
-    return redact.mask_records(_calls(spark, folder), redact.first_path("tool_input_json"), ["tool_input_json", "tool_response_summary"]).select("id", "tool_name", "file", "tool_input_json", "tool_response_summary")
+    return redact.mask_records(_calls(spark, folder), redact.sensitive_path("tool_input_json", "tool_response_summary"), ["tool_input_json", "tool_response_summary"]).select("id", "tool_name", "file", "tool_input_json", "tool_response_summary")
 
 
 def response_cuts(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,7 +114,7 @@ def detected_patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tool_digests(spark: SparkSession, folder: str) -> DataFrame:
-    return detect.tool_digest(_calls(spark, folder), ["session_id"]).select("session_id", "tool_name", "calls", "first_id", F.size("examples").cast("long").alias("examples"))
+    return detect.tool_digest(_calls(spark, folder), ["session_id"]).select("session_id", "tool_name", "calls", "first_id", F.array_join("examples", "\n").alias("examples"))
 
 
 def session_digests(spark: SparkSession, folder: str) -> DataFrame:

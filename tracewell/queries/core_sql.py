@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.redact import MASK, PATTERNS, SENSITIVE_PARTS
 from ..functions.text import PACKAGE_MANAGERS, SLUG_CHARACTERS
+from ..operators.detect import NO_COMMIT, READ_FIRST
 from ..operators.render import RULES_HEAD
 from .core import NOW, QUESTION
 
@@ -107,7 +108,28 @@ leaves AS (
 """
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 
+_FIRST_CALLS = """
+c AS (SELECT session_id, id, coalesce(tool_name, 'unknown') AS tool_name, coalesce(tool_input_json, '{}') AS j FROM observations),
+e AS (SELECT *, CASE WHEN length(j) > 200 THEN left(j, 200) || '...' ELSE j END AS example, row_number() OVER (PARTITION BY session_id, tool_name ORDER BY id) AS n FROM c),
+g AS (SELECT session_id, tool_name, count(*) AS calls, min(id) AS first_id, list(example ORDER BY n) FILTER (n <= 3) AS examples FROM e GROUP BY session_id, tool_name)
+"""
+#: (session_id, calls, digest)
+DIGESTS = f"""
+WITH {_FIRST_CALLS}, t AS (
+  SELECT session_id, calls, first_id, '- ' || tool_name || ': 共 ' || calls || ' 次' || chr(10) || array_to_string(list_transform(examples, lambda x: '  例: ' || x), chr(10)) AS text FROM g WHERE session_id IS NOT NULL
+), w AS (
+  SELECT session_id, CAST(sum(calls) AS BIGINT) AS calls, '本次会话共 ' || CAST(sum(calls) AS BIGINT) || ' 条观测记录，按工具类型汇总：' || chr(10) || string_agg(text, chr(10) ORDER BY first_id, text) AS whole FROM t GROUP BY session_id
+)
+SELECT session_id, calls, {_cut("whole", 4000, "...(截断)")} AS digest FROM w
+"""
+
 SQL = {
+    "session_digests": DIGESTS,
+    "detected_patterns": f"""
+WITH r AS ({{reads}}), k AS ({{commits}})
+SELECT session_id, '{READ_FIRST["id"]}' AS id, '{READ_FIRST["trigger"]}' AS trigger, '{READ_FIRST["action"]}' AS action, '{READ_FIRST["domain"]}' AS domain, read_first || '/' || edits || ' 次编辑前有先 Read' AS evidence, 0 AS detector FROM r WHERE edits >= 2 AND read_first / edits >= 0.7
+UNION ALL SELECT session_id, '{NO_COMMIT["id"]}', '{NO_COMMIT["trigger"]}', '{NO_COMMIT["action"]}', '{NO_COMMIT["domain"]}', '本次会话 ' || shell_calls || ' 次 Bash 调用中无 commit/push', 1 FROM k
+""",
     "redact_calls": f"SELECT id, {_redacted('tool_input_json')} AS tool_input, {_redacted('tool_response_summary')} AS response FROM observations",
     "redaction_stats": f"SELECT tool_name, count(*) AS calls, count_if(coalesce(tool_input_json <> {_redacted('tool_input_json')}, false)) AS inputs, count_if(coalesce(tool_response_summary <> {_redacted('tool_response_summary')}, false)) AS responses FROM observations GROUP BY tool_name",
     "sensitive_calls": f"WITH {_FIRST_PATH} SELECT id, path FROM paths WHERE {_SENSITIVE}",
@@ -144,7 +166,7 @@ l AS (SELECT *, {", ".join(f"lag(tool_name, {k}) OVER w AS t{k}, lag(path, {k})
 SELECT session_id, count(*) AS edits, count_if({" OR ".join(f"coalesce(t{k} = 'Read' AND p{k} = path, false)" for k in (1, 2, 3))}) AS read_first FROM l WHERE tool_name IN ('Edit', 'Write') AND path <> '' GROUP BY session_id
 """,
     "no_commit_sessions": f"SELECT session_id, count(*) AS shell_calls FROM (SELECT session_id, coalesce({_COMMAND}, '') AS command FROM observations WHERE tool_name = 'Bash' AND session_id IS NOT NULL) GROUP BY session_id HAVING count(*) >= 3 AND count_if(contains(command, 'git commit') OR contains(command, 'git push')) = 0",
-    "tool_digests": "SELECT session_id, coalesce(tool_name, 'unknown') AS tool_name, count(*) AS calls, min(id) AS first_id, least(count(*), 3) AS examples FROM observations GROUP BY session_id, coalesce(tool_name, 'unknown')",
+    "tool_digests": f"WITH {_FIRST_CALLS} SELECT session_id, tool_name, calls, first_id, array_to_string(examples, chr(10)) AS examples FROM g",
     "confidence_fold": """
 WITH s AS (SELECT session_id, id, NOT coalesce(regexp_matches(tool_response_summary, '^exit [1-9]'), false) AS hit FROM observations),
 l AS (SELECT session_id, list(CASE WHEN hit THEN 1.0 ELSE 0.0 END::DOUBLE ORDER BY id) AS x, count_if(hit) AS hits, count(*) AS signals FROM s GROUP BY session_id)
@@ -184,3 +206,4 @@ SELECT row_id, r.memory_id, content_hash FROM r LEFT JOIN c ON c.memory_id = r.m
     "summary_due": f"WITH {_FIRST_LINES} SELECT session_id, count(*) AS new_turns FROM turns GROUP BY session_id HAVING count(*) >= 5",
     "recent_sessions": "SELECT session_id, updated_at AS last_exit_ts, left(coalesce(transcript_path, ''), 200) AS summary_excerpt FROM session_progress WHERE updated_at IS NOT NULL AND session_id <> '' ORDER BY updated_at DESC, session_id LIMIT 10",
 }
+SQL["detected_patterns"] = SQL["detected_patterns"].replace("{reads}", SQL["read_before_edit"]).replace("{commits}", SQL["no_commit_sessions"])
