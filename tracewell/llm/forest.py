@@ -39,7 +39,7 @@ from .words import overlap, word_set
 #: Copies of one text are joined to their class in this many parts.
 SALTS = 16
 #: Bits of a min-hash in a label.
-SYMBOL = 16
+SYMBOL = 12
 PAIRS_A_BATCH = 100_000
 WORDS_AT_ONCE = 200_000
 #: What a label carries.
@@ -206,7 +206,7 @@ def _sure(links: DataFrame, length: int, trees: int, threshold: float, target_re
     return {r["rel"] for r in sums if r["found"] >= target_recall * (r["found"] + r["missed"] + 2 * r["variance"] ** 0.5 + unseen)}
 
 
-def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (3, 5), trees: int = 64, deeper: int = 3, target_recall: float = 0.995, block: int = 2000) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (3, 5), trees: int = 64, deeper: int = 5, target_recall: float = 0.995, block: int = 2000) -> tuple[DataFrame, DataFrame]:
     """(members, links) of ``records`` (rel, row_id, text).
 
     members: (rel, row_id, class_id), class_id being the least row_id of the records with the same words.
@@ -240,8 +240,8 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (3, 5), tre
             across = big_join(parts.filter(open_), other, "subtrie").filter("block < block_b").repartition("subtrie", "block", "block_b").select("rest", *PAYLOAD, "rest_b", *[f"{c}_b" for c in PAYLOAD])
             met = met.unionByName(across.mapInArrow(lambda b, k=length: _meet_across(b, k, deeper, up, down), "cid_a bigint, cid_b bigint"))
         met = met.distinct()
-        wa = classes.select(F.col("cid").alias("cid_a"), "rel", F.col("class_id").alias("class_a"), F.col("words").alias("wa"))
-        wb = classes.select(F.col("cid").alias("cid_b"), F.col("class_id").alias("class_b"), F.col("words").alias("wb"))
+        wa = classes.filter(open_).select(F.col("cid").alias("cid_a"), "rel", F.col("class_id").alias("class_a"), F.col("words").alias("wa"))
+        wb = classes.filter(open_).select(F.col("cid").alias("cid_b"), F.col("class_id").alias("class_b"), F.col("words").alias("wb"))
         pairs = big_join(big_join(met, wa, "cid_a"), wb, "cid_b").withColumn("both", overlap("wa", "wb")).withColumn("all", F.size("wa") + F.size("wb") - F.col("both"))
         pairs = pairs.filter(down * F.col("both") >= up * F.col("all")).select("rel", F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), (F.col("both") / F.col("all")).alias("similarity"))
         found = materialise(pairs, "verified")
@@ -249,6 +249,8 @@ def near_duplicates(records: DataFrame, threshold: tuple[int, int] = (3, 5), tre
         verified = found if verified is None else verified.unionByName(found).distinct()
         if length:
             done = done | _sure(verified, shortest + length, trees, up / down, target_recall)
+            if done.issuperset(rels):
+                break
     return members, verified.select("rel", "class_a", "class_b")
 
 
