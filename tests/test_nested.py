@@ -89,7 +89,7 @@ def test_tables_linked_by_containment(spark):
     rows = [(i, json.dumps({"r": make(0)})) for i in range(40)]
     df = spark.createDataFrame(rows, "k long, j string")
     tables = nested.node_tables(nested.shred(df, "k", "j"))
-    links = {(x["row_key"], x["parent_path"], x["child_path"]) for x in nested.enclosing(tables["object"], tables["object"]).collect()}
+    links = {(x["row_key"], x["parent_path"], x["path"]) for x in nested.enclosing(tables["object"], tables["object"]).collect() if x["parent_path"]}
     assert links == {(i, p, c) for i, t in rows for p, c in walk(json.loads(t))}
     assert {t.count() > 0 for t in tables.values()} == {True}
     assert tables["number"].schema["value"].dataType.typeName() == "double"
@@ -111,11 +111,22 @@ def flat(v, path="$", parent=None, name=None, level=0):
             yield from flat(x, f"{path}[{i}]", parent, None, level + 1)
 
 
-def test_enclosing_keeps_nodes_without_parent(spark):
+def test_nodes_without_parent_stay(spark):
     texts = {"a": '{"n": null, "x": {"y": [1, {"z": false}]}, "big": 12345678901234567890}', "b": '[1, {"q": "s"}]', "c": "7", "d": "{cut"}
     nodes = nested.shred(spark.createDataFrame(list(texts.items()), "k string, j string"), "k", "j")
-    got = {tuple(r) for r in nested.enclosing(nodes, nested.node_tables(nodes)["object"], keep=("kind", "level", "name", "value"), outer=True).select("row_key", "parent_path", "child_path", "kind", "level", "name", "value").collect()}
-    assert got == {(k, *x) for k, t in texts.items() if k != "d" for x in flat(json.loads(t))}
+    expected = {(k, *x) for k, t in texts.items() if k != "d" for x in flat(json.loads(t))}
+    columns = ("row_key", "parent_path", "path", "kind", "level", "name", "value")
+    for links in (nested.linked(nodes), nested.enclosing(nodes, nested.node_tables(nodes)["object"])):
+        assert {tuple(r) for r in links.select(*columns).collect()} == expected
+
+
+def test_equal_and_null_keys_are_records_of_their_own(spark):
+    df = spark.createDataFrame([("k", '{"a": {"b": {}}}'), ("k", '{"c": [{}]}'), (None, '{"d": {}}')], "k string, j string")
+    expected = sorted([("k", "$", "$.a"), ("k", "$.a", "$.a.b"), ("k", "$", "$.c[0]"), (None, "$", "$.d")], key=repr)
+    assert sorted((tuple(r) for r in nested.object_links(df, "k", "j").collect()), key=repr) == expected
+    nodes = nested.shred(df, "k", "j")
+    arrays = nested.enclosing(nodes.filter("kind = 'object'"), nodes.filter("kind = 'array'")).filter("parent_path is not null")
+    assert [(r["row_key"], r["parent_path"], r["path"]) for r in arrays.collect()] == [("k", "$.c", "$.c[0]")]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")

@@ -64,25 +64,28 @@ def best_text_matches(queries: DataFrame, candidates: DataFrame, gated: bool = F
                 kind = batch.column(0).type
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
-                    texts = part.column(2).to_pylist()
-                    right = _membership(texts, place)
-                    right_size = np.array([len(set(t.replace(" ", ""))) for t in texts], np.float64)
-                    right_gate = np.array([gates.get(g, -1) for g in part.column(3).to_pylist()])
-                    shared = (left @ right.T).astype(np.float64)
-                    total = size[:, None] + right_size[None] - shared
-                    similarity = np.divide(shared, total, out=np.zeros_like(shared), where=total > 0)
-                    similarity[(left_gate[:, None] != right_gate[None]) | (similarity < threshold)] = -1
-                    if own:
-                        self_pairs = [(own[v], j) for j, v in enumerate(part.column(0).to_pylist()) if v in own]
-                        if self_pairs:
-                            similarity[tuple(np.array(self_pairs).T)] = -1
+                    texts, ids = part.column(2).to_pylist(), part.column(0).to_pylist()
                     ords = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                    order = np.argsort(ords, kind="stable")
-                    pick = order[similarity[:, order].argmax(1)]
-                    top = similarity[np.arange(len(left)), pick]
-                    better = (top > best) | ((top == best) & (top >= 0) & (ords[pick] < best_ord))
-                    for i in np.flatnonzero(better).tolist():
-                        best[i], best_ord[i], best_id[i] = top[i], ords[pick[i]], part.column(0)[int(pick[i])].as_py()
+                    part_gate = np.array([gates.get(g, -1) for g in part.column(3).to_pylist()])
+                    for gate in np.unique(part_gate[part_gate >= 0]):  # the gate comes before any comparison
+                        mine, theirs = np.flatnonzero(left_gate == gate), np.flatnonzero(part_gate == gate)
+                        theirs = theirs[np.argsort(ords[theirs], kind="stable")]
+                        near = [texts[j] for j in theirs]
+                        right_size = np.array([len(set(t.replace(" ", ""))) for t in near], np.float64)
+                        shared = (left[mine] @ _membership(near, place).T).astype(np.float64)
+                        total = size[mine][:, None] + right_size[None] - shared
+                        similarity = np.divide(shared, total, out=np.zeros_like(shared), where=total > 0)
+                        similarity[similarity < threshold] = -1
+                        if own:
+                            row_of = {i: k for k, i in enumerate(mine.tolist())}
+                            self_pairs = [(row_of[own[ids[j]]], k) for k, j in enumerate(theirs) if own.get(ids[j]) in row_of]
+                            if self_pairs:
+                                similarity[tuple(np.array(self_pairs).T)] = -1
+                        pick = similarity.argmax(1)
+                        top, picked = similarity[np.arange(len(mine)), pick], theirs[pick]
+                        better = (top > best[mine]) | ((top == best[mine]) & (top >= 0) & (ords[picked] < best_ord[mine]))
+                        for k in np.flatnonzero(better).tolist():
+                            best[mine[k]], best_ord[mine[k]], best_id[mine[k]] = top[k], ords[picked[k]], ids[picked[k]]
             hit = np.flatnonzero(best >= 0)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(best[hit]), pa.array(best_ord[hit]), pa.array([best_id[i] for i in hit], kind)], names=["q", "score", "ord", "match_id"])

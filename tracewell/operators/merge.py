@@ -2,7 +2,7 @@
 
 Each candidate sees what the ones before it left behind, so merging is a fold. It is split where that
 cannot matter: rows that share no gate and no id, directly or through others, form separate components,
-and each component is folded by one grouped task, in order of ``seq``. Input columns are those of
+and each component is folded as a stream in order of ``seq``. Input columns are those of
 ``schemas``; other columns are ignored.
 """
 
@@ -11,8 +11,10 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import md5
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.text import SLUG_CHARACTERS, kebab_id, normal_keywords
+from ..runtime import big_join
 from .components import components
 
 _NOT_SLUG, _KEBAB = re.compile(f"[^{SLUG_CHARACTERS}]+"), re.compile(r"[a-z0-9]+(-[a-z0-9]+)*\Z")
@@ -85,7 +88,7 @@ class _Store:
         return [self.rows[k] for k in sorted(self.rows, key=self.place.__getitem__)]
 
 
-def fold_instincts(stored: list[dict], candidates: list[dict], today: dt.date) -> list[dict]:
+def fold_instincts(stored: list[dict], candidates: Iterable[dict], today: dt.date) -> list[dict]:
     """Merge by similar trigger within a domain, else by id; new rows begin at the initial confidence."""
     gate = lambda r: [d] if (d := (r["domain"] or "").strip()) else []
     store = _Store(stored, "trigger", gate)
@@ -105,7 +108,7 @@ def fold_instincts(stored: list[dict], candidates: list[dict], today: dt.date) -
     return store.in_order()
 
 
-def fold_facts(stored: list[dict], candidates: list[dict], today: dt.date) -> list[dict]:
+def fold_facts(stored: list[dict], candidates: Iterable[dict], today: dt.date) -> list[dict]:
     """Merge by similar description among rows that share a keyword, else by id; a merge replaces the row."""
     gates = lambda r: {k.strip().lower() for k in r["keywords"] or [] if k and k.strip()}
     store = _Store(stored, "description", gates)
@@ -119,7 +122,7 @@ def fold_facts(stored: list[dict], candidates: list[dict], today: dt.date) -> li
     return store.in_order()
 
 
-def fold_procedures(stored: list[dict], candidates: list[dict], today: dt.date) -> list[dict]:
+def fold_procedures(stored: list[dict], candidates: Iterable[dict], today: dt.date) -> list[dict]:
     """Merge by similar task; success moves confidence; enough of it promotes, once, and nothing demotes."""
     store = _Store(stored, "task_type", lambda _: ("all",))
     for c in candidates:
@@ -142,26 +145,39 @@ def fold_procedures(stored: list[dict], candidates: list[dict], today: dt.date)
 
 
 def _folded(store: DataFrame, candidates: DataFrame, links: DataFrame, fold, schema, today: dt.date) -> DataFrame:  # noqa: ANN001
-    """Run a fold for every component. ``links`` has (side, row, key): the keys that store rows ('s', id) and candidates ('c', seq) have."""
+    """Run a fold for every component. ``links`` has (side, row, key): the keys that store rows ('s', id) and candidates ('c', seq) have.
+
+    Rows are spread by component and sorted, stored ones first; a task folds its components one after the other
+    as a stream. It holds the entities of one component - what is stored and what the candidates made of it - but
+    no candidates, however many there are.
+    """
     labelled = components(links.select(F.concat("side", "row").alias("node"), "key"))
-    s = store.select(F.concat(F.lit("s"), F.col("id")).alias("node"), F.to_json(F.struct(*schema.fieldNames())).alias("json"), F.lit(-1).cast("long").alias("seq")).join(labelled, "node")
-    c = candidates.select(F.concat(F.lit("c"), F.col("seq").cast("string")).alias("node"), F.to_json(F.struct("*")).alias("json"), F.col("seq").cast("long").alias("seq")).join(labelled, "node")
+    s = big_join(store.select(F.concat(F.lit("s"), F.col("id")).alias("node"), F.to_json(F.struct(*schema.fieldNames())).alias("json"), F.lit(-1).cast("long").alias("seq")), labelled, "node")
+    c = big_join(candidates.select(F.concat(F.lit("c"), F.col("seq").cast("string")).alias("node"), F.to_json(F.struct("*")).alias("json"), F.col("seq").cast("long").alias("seq")), labelled, "node")
     candidate_fields, store_fields = candidates.columns, schema.fieldNames()
     dates = [f.name for f in schema.fields if f.dataType.typeName() == "date"]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        stored, new = [], []
-        for seq, text in frame.sort_values("seq", kind="stable")[["seq", "json"]].itertuples(index=False):
-            row = json.loads(text)
-            if seq < 0:
-                row = {k: row.get(k) for k in store_fields}
-                stored.append({**row, **{d: dt.date.fromisoformat(row[d]) if row[d] else None for d in dates}})
-            else:
-                new.append({k: row.get(k) for k in candidate_fields})
-        rows = fold(stored, new, today)
-        return pd.DataFrame([{k: r.get(k) for k in store_fields} for r in rows], columns=store_fields).astype(object)
-
-    return s.unionByName(c).groupBy("component").applyInPandas(run, schema)
+    def stored_row(text: str) -> dict:
+        row = json.loads(text)
+        row = {k: row.get(k) for k in store_fields}
+        return {**row, **{d: dt.date.fromisoformat(row[d]) if row[d] else None for d in dates}}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for frame in frames for r in frame.itertuples(index=False, name=None))
+        for _, group in groupby(rows, key=itemgetter(0)):
+            stored, first = [], []
+            for _, seq, text in group:
+                if seq >= 0:
+                    first.append(text)
+                    break
+                stored.append(stored_row(text))
+            new = (json.loads(text) for text in chain(first, (x[2] for x in group)))
+            merged = fold(stored, ({k: row.get(k) for k in candidate_fields} for row in new), today)
+            for at in range(0, len(merged), 10_000):
+                yield pd.DataFrame([{k: r.get(k) for k in store_fields} for r in merged[at : at + 10_000]], columns=store_fields).astype(object)
+
+    ordered = s.unionByName(c).select("component", "seq", "json").repartition("component").sortWithinPartitions("component", "seq", "json")
+    return ordered.mapInPandas(run, schema)
 
 
 def _keys(df: DataFrame, side: str, row: F.Column, keys: list[F.Column]) -> DataFrame:

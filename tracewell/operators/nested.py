@@ -7,14 +7,17 @@ interval comparisons within one record, whatever its shape, and each node type c
 its own:
 
 * ``shred``: one row a node, of all types; map-only, as a record never crosses a partition;
-* ``node_tables``: the same as one table per type;
-* ``enclosing``: each node of one table with its nearest enclosing node of another, by containment
-  (equi-join on the record, interval residual, largest ``pre``); no node set is broadcast;
-* ``object_links``: each object with the path of its nearest enclosing object. It links inside the
-  partition that shredded the record, by the same interval test on sorted labels.
+* ``object_nodes``: the node table of objects alone, at less cost;
+* ``node_tables``: one table per type of stored nodes;
+* ``linked``: each node with its nearest enclosing node of a type: a structural join, one pass over the labels
+  sorted by (record, ``pre``) with a stack of the intervals that are open. It runs in the partition that
+  shredded the record, so nothing is shuffled;
+* ``enclosing``: the same between two node tables, wherever they lie: one shuffle on the record. A record is
+  one row of the source, so no record is a hot key; the pass is linear and holds only the open intervals;
+* ``object_links``: each object with the path of its nearest enclosing object.
 
 Defined cases: null, empty, cut or otherwise malformed JSON has no nodes; a root that is not an object
-has nodes in ``shred`` but no links; strings that hold JSON stay strings; of repeated keys in one object
+has nodes in ``shred`` but no object links; rows with equal keys are records of their own; strings that hold JSON stay strings; of repeated keys in one object
 the last counts, as in most parsers; nesting beyond the native parser's depth is parsed with an
 explicit stack; a null key column is kept as null. Column names of the input other than the two named
 are ignored, so clashing names do no harm.
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -174,82 +177,123 @@ def _object_labels(root: dict) -> list[tuple[int, int, str]]:
     return out
 
 
+class _Intervals:
+    """The open intervals of one record; nodes must come in order of ``pre``."""
+
+    def __init__(self) -> None:
+        self.record, self.open = None, []
+
+    def around(self, record: object, post: int) -> tuple[int, int, str] | None:
+        """(pre, post, path) of the nearest open interval that ends after ``post``."""
+        if record != self.record:
+            self.record, self.open = record, []
+        while self.open and self.open[-1][1] < post:  # it ended before this node: no containment
+            self.open.pop()
+        return self.open[-1] if self.open else None
+
+
 def nearest_containing(labels: list[tuple[int, int, str]]) -> Iterator[tuple[str, str]]:
-    """(path of the nearest containing interval, path) for labels sorted by ``pre``."""
-    open_: list[tuple[int, int, str]] = []
+    """(path of the nearest containing interval, path) for labels (pre, post, path) of one record sorted by ``pre``."""
+    intervals = _Intervals()
     for node in labels:
-        while open_ and open_[-1][1] < node[1]:  # that interval ended before this one: no containment
-            open_.pop()
-        if open_:
-            yield open_[-1][2], node[2]
-        open_.append(node)
+        parent = intervals.around(0, node[1])
+        if parent:
+            yield parent[2], node[2]
+        intervals.open.append(node)
 
 
-def shred(df: DataFrame, key_column: str, json_column: str) -> DataFrame:
-    """(row_key, kind, pre, post, level, path, name, value): one row for every node of every record."""
-    key_type = df.schema[key_column].dataType
-    schema = T.StructType([T.StructField("row_key", key_type), T.StructField("kind", T.StringType()), T.StructField("pre", T.IntegerType()), T.StructField("post", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
+def _structural_join(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (record, pre), of which those marked ``is_parent`` open intervals, with parent_pre and parent_path; only those marked ``is_child`` stay."""
+    intervals = _Intervals()
+    for batch in batches:
+        record, pre, post, path, child, parent = (batch.column(names.index(c)).to_pylist() for c in ("record", "pre", "post", "path", "is_child", "is_parent"))
+        pres, paths = [], []
+        for i, r in enumerate(record):
+            found = intervals.around(r, post[i])
+            pres.append(found[0] if found else None)
+            paths.append(found[2] if found else None)
+            if parent[i]:
+                intervals.open.append((pre[i], post[i], path[i]))
+        keep = pa.array(child)
+        columns = [*batch.columns, pa.array(pres, pa.int32()), pa.array(paths, pa.string())]
+        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=[*names, "parent_pre", "parent_path"])
+
+
+def _joined(marked: DataFrame) -> DataFrame:
+    names = marked.columns
+    schema = T.StructType([*marked.schema.fields, T.StructField("parent_pre", T.IntegerType()), T.StructField("parent_path", T.StringType())])
+    ordered = marked.sortWithinPartitions("record", "pre", F.col("is_parent"))
+    return ordered.mapInArrow(lambda batches: _structural_join(batches, names), schema).drop("is_child", "is_parent")
+
+
+def linked(nodes: DataFrame, parents: str = "object") -> DataFrame:
+    """``nodes``, straight from ``shred`` or ``object_nodes``, with parent_pre and parent_path: the nearest enclosing node of the type ``parents``; null if there is none."""
+    is_parent = F.col("kind") == parents if "kind" in nodes.columns else F.lit(True)
+    return _joined(nodes.withColumns({"is_child": F.lit(True), "is_parent": is_parent}))
+
+
+def _records_of(df: DataFrame, key_column: str, json_column: str) -> DataFrame:
+    return df.select(F.monotonically_increasing_id().alias("record"), F.col(key_column).alias("row_key"), F.col(json_column).alias("json"))
+
+
+def _nodes(df: DataFrame, key_column: str, json_column: str, fields: list[T.StructField], labels: Callable[[str | None], Iterable[tuple]]) -> DataFrame:
+    """(record, row_key, fields) of the labels of every record."""
+    schema = T.StructType([T.StructField("record", T.LongType()), T.StructField("row_key", df.schema[key_column].dataType), *fields])
+    kinds = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string() for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = [f.name for f in schema.fields], [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 owner, rows = [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
+                for i, text in enumerate(part.column(2).to_pylist()):
                     before = len(rows)
-                    rows += [(k, pre, post, level, path, name, scalar) for k, scalar, pre, post, level, path, name in labels_of(text)]
+                    rows += labels(text)
                     owner += [i] * (len(rows) - before)
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), *columns], names=names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), *columns], names=schema.fieldNames())
 
-    return df.select(F.col(key_column).alias("row_key"), F.col(json_column).alias("json")).mapInArrow(run, schema)
+    return _records_of(df, key_column, json_column).mapInArrow(run, schema)
+
+
+def shred(df: DataFrame, key_column: str, json_column: str) -> DataFrame:
+    """(record, row_key, kind, value, pre, post, level, path, name): one row for every node of every record."""
+    fields = [T.StructField(n, T.IntegerType() if n in ("pre", "post", "level") else T.StringType()) for n in ("kind", "value", "pre", "post", "level", "path", "name")]
+    return _nodes(df, key_column, json_column, fields, labels_of)
+
+
+def object_nodes(df: DataFrame, key_column: str, json_column: str) -> DataFrame:
+    """(record, row_key, pre, post, path): the objects of every record whose root is one."""
+
+    def labels(text: str | None) -> Iterable[tuple]:
+        root = parse_json(text)
+        return _object_labels(root) if root.__class__ is dict else ()
+
+    fields = [T.StructField("pre", T.IntegerType()), T.StructField("post", T.IntegerType()), T.StructField("path", T.StringType())]
+    return _nodes(df, key_column, json_column, fields, labels)
 
 
 def node_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     """One table per node type, with typed values; each keeps the interval label and the record's key."""
-    label_columns = ["row_key", "pre", "post", "level", "path", "name"]
+    label_columns = ["record", "row_key", "pre", "post", "level", "path", "name"]
     typed = {"string": F.col("value"), "number": F.col("value").cast("double"), "boolean": F.col("value").cast("boolean")}
     return {kind: nodes.filter(F.col("kind") == kind).select(*label_columns, *([typed[kind].alias("value")] if kind in typed else [])) for kind in KINDS}
 
 
-def enclosing(children: DataFrame, parents: DataFrame, keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
-    """(row_key, child_pre, child_path, keep.., parent_pre, parent_path): the nearest node of ``parents`` around each child.
-
-    One shuffle on the record's key for each side, then a map-side combined aggregate. A child without an
-    enclosing node in ``parents`` has no row, or, with ``outer``, one without parent. ``keep`` are columns of
-    the children that stay.
-    """
-    c = children.select("row_key", F.col("pre").alias("child_pre"), F.col("post").alias("child_post"), F.col("path").alias("child_path"), F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"))
-    p = parents.select(F.col("row_key").alias("parent_key"), F.col("pre").alias("parent_pre"), F.col("post").alias("parent_post"), F.col("path").alias("parent_path"))
-    contains = (F.col("row_key") == F.col("parent_key")) & (F.col("parent_pre") < F.col("child_pre")) & (F.col("parent_post") > F.col("child_post"))
-    inside = c.join(p, contains, "left" if outer else "inner")
-    best = F.max(F.struct("parent_pre", "parent_path"))
-    found = inside.groupBy("row_key", "child_pre", "child_path").agg(best.alias("p"), F.any_value("kept").alias("kept"))
-    return found.select("row_key", "child_pre", "child_path", *[F.col("kept")[k].alias(k) for k in keep], "p.parent_pre", "p.parent_path")
+def enclosing(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """``children`` with parent_pre and parent_path: the nearest node of ``parents`` around each child; null if there is none."""
+    marks = {"is_child": F.lit(True), "is_parent": F.lit(False)}
+    opened = parents.select("record", "pre", "post", "path").withColumns({"is_child": F.lit(False), "is_parent": F.lit(True)})
+    return _joined(children.withColumns(marks).unionByName(opened, allowMissingColumns=True).repartition("record"))
 
 
 def object_links(df: DataFrame, key_column: str, json_column: str) -> DataFrame:
     """(row_key, parent_path, child_path) for each object below the root of a record that is an object."""
-    key_type = df.schema[key_column].dataType
-    schema = T.StructType([T.StructField("row_key", key_type), T.StructField("parent_path", T.StringType()), T.StructField("child_path", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, parents, children = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                root = parse_json(text)
-                if root.__class__ is dict:
-                    for parent, child in nearest_containing(_object_labels(root)):
-                        owner.append(i)
-                        parents.append(parent)
-                        children.append(child)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(parents, pa.string()), pa.array(children, pa.string())], names=["row_key", "parent_path", "child_path"])
-
     # an object below the root needs a second opening brace: others are not handed to Python
     has_two = F.col(json_column).rlike(r"(?s)^\s*\{.*\{")
-    return df.filter(has_two).select(F.col(key_column).alias("row_key"), F.col(json_column).alias("json")).mapInArrow(run, schema)
+    links = linked(object_nodes(df.filter(has_two), key_column, json_column))
+    return links.filter(F.col("parent_path").isNotNull()).select("row_key", "parent_path", F.col("path").alias("child_path"))
 
 
 def first_copy(df: DataFrame, key_column: str, order: list[str], value_column: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
 from ..functions.vectors import cosine, l2
-from ..runtime import materialise
+from ..runtime import big_join, materialise
 from ..schemas import RECALL_K
 
 TERM = r"[\p{L}\p{N}_]{2,}"
@@ -26,30 +27,63 @@ def terms(c: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def tfidf_scores(documents: DataFrame, query: str) -> DataFrame:
-    """(id, score): cosine of every document (id, text) and the query, in the vocabulary of both.
+class TfidfIndex:
+    """Stored postings, document frequencies and lengths of documents (id, text) for TF-IDF questions.
 
-    idf = ln((1 + n) / (1 + df)) + 1 over the documents and the query; raw counts; L2 norms. Documents without
-    terms have score 0. Postings of a frequent term are salted before they meet their idf.
+    idf = ln((1 + n) / (1 + df)) + 1 over the documents and the question; raw counts; L2 norms. Lengths are stored
+    for the frequencies without the question; a question changes those of its own terms alone, so it reads the
+    postings of its terms - a range of files sorted by term - and corrects the lengths from them. Postings of a
+    frequent term are salted where they meet their weight while the index is built.
     """
-    spark = documents.sparkSession
-    asked = spark.range(1).select(F.explode(terms(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
-    postings = documents.select("id", F.explode(terms("text")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    n = documents.count() + 1
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(asked, "term", "full").select("term", (F.coalesce("df", F.lit(0)) + F.col("qtf").isNotNull().cast("int")).alias("df"), F.coalesce("qtf", F.lit(0)).alias("qtf"))
-    weights = df.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"), "qtf")
-    salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    weighted = postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
-    per_doc = weighted.groupBy("id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qtf") * F.col("idf")).alias("dot"), F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2))).alias("sq"))
-    length = weights.filter(F.col("qtf") > 0).agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), F.lit(2))))).first()[0] or 0.0
-    scored = per_doc.select("id", F.when(F.lit(length > 0) & (F.col("sq") > 0), F.col("dot") / (F.lit(length) * F.sqrt("sq"))).otherwise(F.lit(0.0)).alias("score"))
-    return documents.select("id").join(scored, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    def __init__(self, documents: DataFrame):
+        self.spark = documents.sparkSession
+        tokens = documents.select("id", F.explode(terms("text")).alias("term"))
+        counts = tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
+        self.postings = materialise(counts.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+        self.frequencies = materialise(self.postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+        self.n = documents.count() + 1
+        idf = F.log((1 + F.lit(self.n)) / (1 + F.col("df"))) + 1
+        salted = self.frequencies.select("term", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        weighted = big_join(self.postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")), salted, ["term", "salt"])
+        sizes = weighted.groupBy("id").agg(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2))).alias("sq"))
+        self.lengths = materialise(big_join(documents.select("id").distinct(), sizes, "id", "left").select("id", F.coalesce("sq", F.lit(0.0)).alias("sq")), "lengths")
+
+    def matching(self, query: str) -> DataFrame:
+        """(id, score) of the documents that have a term of the question; only the question's own terms reach the driver."""
+        asked = {r["term"]: r["n"] for r in self.spark.range(1).select(F.explode(terms(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+        if not asked:
+            return self.lengths.limit(0).select("id", F.lit(0.0).alias("score"))
+        known = {r["term"]: r["df"] for r in self.frequencies.filter(F.col("term").isin(list(asked))).collect()}
+        idf = lambda df: math.log((1 + self.n) / (1 + df)) + 1
+        rows = [(t, idf(known.get(t, 0)), idf(known.get(t, 0) + 1), n) for t, n in asked.items()]
+        length = math.sqrt(sum((n * w) ** 2 for _, _, w, n in rows))
+        weights = self.spark.createDataFrame(rows, "term string, before double, now double, qtf long")
+        met = self.postings.filter(F.col("term").isin(list(asked))).join(F.broadcast(weights), "term")
+        tf, before, now = F.col("tf"), F.col("before"), F.col("now")
+        sums = met.groupBy("id").agg(F.sum(tf * now * F.col("qtf") * now).alias("dot"), F.sum(tf * tf * (now * now - before * before)).alias("more"))
+        return big_join(sums, self.lengths, "id").select("id", (F.col("dot") / (F.lit(length) * F.sqrt(F.col("sq") + F.col("more")))).alias("score"))
+
+    def scores(self, query: str) -> DataFrame:
+        """(id, score) of every document; 0 where no term is shared."""
+        return big_join(self.lengths.select("id"), self.matching(query), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    def top(self, query: str, k: int = RECALL_K, digits: int = 9) -> DataFrame:
+        """The ``k`` best documents (id, score, rank); equal scores in order of id. Documents without a shared term fill up what is missing."""
+        best = materialise(self.matching(query).withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), "id").limit(k), "best")
+        rest = big_join(self.lengths.select("id"), best.select("id"), "id", "left_anti").orderBy("id").limit(k).withColumn("score", F.lit(0.0))
+        found = best if best.count() >= k else best.unionByName(rest).orderBy(F.desc("score"), "id").limit(k)
+        return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+
+
+def tfidf_scores(documents: DataFrame, query: str) -> DataFrame:
+    """(id, score): cosine of every document (id, text) and the query; for several questions keep the ``TfidfIndex``."""
+    return TfidfIndex(documents).scores(query)
 
 
 def recall_tfidf(documents: DataFrame, query: str, k: int = RECALL_K, digits: int = 9) -> DataFrame:
     """The ``k`` best documents (id, score, rank); equal scores in order of id."""
-    top = tfidf_scores(documents, query).withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), "id").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    return TfidfIndex(documents).top(query, k, digits)
 
 
 def nearest(candidates: DataFrame, vector: list[float], k: int = RECALL_K, metric: str = "cosine") -> DataFrame:

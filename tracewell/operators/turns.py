@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cut, is_typed_prompt, parse_time_us, spoken_text
+from ..runtime import big_join, materialise
 from ..schemas import MIN_EPISODE_CALLS, STEP_CUT, TURN_CUT
 from .ordering import carried_forward, running_count
 
@@ -35,7 +36,8 @@ def turns(lines: DataFrame, order: str = "line_no", limit: int = TURN_CUT) -> Da
     said = F.array_sort(F.collect_list(F.when(~F.col("is_prompt") & (F.col("text") != ""), F.struct(*keys, "text"))))
     grouped = numbered.groupBy("session_id", "turn_no").agg(F.max(F.when(F.col("is_prompt"), F.struct("uuid", "text", "ts"))).alias("p"), said.alias("said"))
     answer = F.array_join(F.transform("said", lambda x: x["text"]), "\n")
-    return grouped.select("session_id", "turn_no", "p.uuid", cut("p.text", limit, CUT_MARK).alias("user"), cut(answer, limit, CUT_MARK).alias("assistant"), "p.ts")
+    made = grouped.select("session_id", "turn_no", "p.uuid", cut("p.text", limit, CUT_MARK).alias("user"), cut(answer, limit, CUT_MARK).alias("assistant"), "p.ts")
+    return materialise(made, "session_turns")  # what follows reads turns more than once
 
 
 def turns_after(turns_: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -43,14 +45,14 @@ def turns_after(turns_: DataFrame, cursors: DataFrame) -> DataFrame:
 
     The first turn with the cursor's uuid counts.
     """
-    at = turns_.join(cursors.select("session_id", F.col("last_processed_uuid").alias("uuid")), ["session_id", "uuid"]).groupBy("session_id").agg(F.min("turn_no").alias("seen"))
-    return turns_.join(at, "session_id", "left").filter(F.col("turn_no") > F.coalesce("seen", F.lit(0))).drop("seen")
+    at = big_join(turns_, cursors.select("session_id", F.col("last_processed_uuid").alias("uuid")), ["session_id", "uuid"]).groupBy("session_id").agg(F.min("turn_no").alias("seen"))
+    return big_join(turns_, at, "session_id", "left").filter(F.col("turn_no") > F.coalesce("seen", F.lit(0))).drop("seen")
 
 
 def with_feedback(turns_: DataFrame) -> DataFrame:
     """Turns that have a successor, with the next prompt and its time; the last turn of a session is held back."""
     after = turns_.select("session_id", (F.col("turn_no") - 1).alias("turn_no"), F.col("user").alias("next_user"), F.col("ts").alias("next_ts"))
-    return turns_.join(after, ["session_id", "turn_no"])
+    return big_join(turns_, after, ["session_id", "turn_no"])
 
 
 def release_cursors(turns_: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def episodes(turns_: DataFrame, observations: DataFrame, min_calls: int = MIN_EP
     lines = owned.withColumn("place", F.row_number().over(in_turn)).select("session_id", "turn_no", "place", step_line(F.col("place"), F.col("tool_name"), F.col("tool_input_json")).alias("line"))
     steps = lines.groupBy("session_id", "turn_no").agg(F.count("*").alias("calls"), F.array_sort(F.collect_list(F.struct("place", "line"))).alias("x")).filter(F.col("calls") >= min_calls)
     steps = steps.select("session_id", "turn_no", "calls", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("steps"))
-    return ahead.join(steps, ["session_id", "turn_no"]).select("session_id", "turn_no", "uuid", "user", "assistant", "next_user", "calls", "steps")
+    return big_join(ahead, steps, ["session_id", "turn_no"]).select("session_id", "turn_no", "uuid", "user", "assistant", "next_user", "calls", "steps")
 
 
 def turns_text(turns_: DataFrame) -> DataFrame:

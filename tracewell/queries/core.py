@@ -237,7 +237,18 @@ def fact_merge(spark: SparkSession, folder: str) -> DataFrame:
     return merge.merge_facts(store, new, TODAY).select("id", "type", "description", "created")
 
 
+def procedure_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """The triggers of instincts as tasks of procedures: batches 1 and later merged one by one into those of batch 0."""
+    rows = table(spark, folder, "instincts").filter(F.col("id").isNotNull())
+    status = F.when(F.coalesce("deprecated", F.lit(False)), "deprecated").when(F.col("confidence") >= S.PROMOTE_AT, "promoted").otherwise("candidate")
+    fields = {"task_type": F.col("trigger"), "hit_count": F.col("hit_count"), "confidence": F.col("confidence"), "status": status, "skill_asked": F.lit(False), "first_seen": F.col("last_seen"), "last_seen": F.col("last_seen"), "evidence_sessions": F.array().cast("array<string>"), "body": F.col("body")}
+    store = rows.filter(F.col("batch_no") == 0).groupBy("id").agg(F.max_by(F.struct(*[c.alias(n) for n, c in fields.items()]), "row_id").alias("x")).select("id", "x.*")
+    new = rows.filter(F.col("batch_no") > 0).select(F.col("row_id").alias("seq"), F.col("domain").alias("session_id"), "id", F.col("trigger").alias("task_type"), F.array().cast("array<string>").alias("steps"), F.lit(None).cast("string").alias("note"), (F.coalesce("hit_count", F.lit(0)) >= 2).alias("is_successful"))
+    merged = merge.merge_procedures(store, new, TODAY)
+    return merged.select("id", "task_type", "hit_count", F.round("confidence", 9).alias("confidence"), "status", "skill_asked", F.array_join("evidence_sessions", ",").alias("sessions"), "promoted_now")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (redact_calls, redact_inputs, redaction_stats, sensitive_calls, masked_calls, response_cuts, call_keys, dedup_calls, retained_calls, incremental_scan, range_scan, transcript_turns, turns_after_cursor, turn_feedback, episode_steps, read_before_edit, no_commit_sessions, detected_patterns, tool_digests, session_digests, confidence_fold, promoted_rules, rules_document, similar_in_domain, similar_any, similar_by_keyword, knn_l2, knn_cosine, knn_live_only, tfidf_recall, embed_cache_misses, slug_ids, package_facts, claims, orphan_sessions, session_cursors, summary_due, recent_sessions, instinct_merge, fact_merge)
+    for f in (redact_calls, redact_inputs, redaction_stats, sensitive_calls, masked_calls, response_cuts, call_keys, dedup_calls, retained_calls, incremental_scan, range_scan, transcript_turns, turns_after_cursor, turn_feedback, episode_steps, read_before_edit, no_commit_sessions, detected_patterns, tool_digests, session_digests, confidence_fold, promoted_rules, rules_document, similar_in_domain, similar_any, similar_by_keyword, knn_l2, knn_cosine, knn_live_only, tfidf_recall, embed_cache_misses, slug_ids, package_facts, claims, orphan_sessions, session_cursors, summary_due, recent_sessions, instinct_merge, fact_merge, procedure_merge)
 }

@@ -207,3 +207,67 @@ SELECT row_id, r.memory_id, content_hash FROM r LEFT JOIN c ON c.memory_id = r.m
     "recent_sessions": "SELECT session_id, updated_at AS last_exit_ts, left(coalesce(transcript_path, ''), 200) AS summary_excerpt FROM session_progress WHERE updated_at IS NOT NULL AND session_id <> '' ORDER BY updated_at DESC, session_id LIMIT 10",
 }
 SQL["detected_patterns"] = SQL["detected_patterns"].replace("{reads}", SQL["read_before_edit"]).replace("{commits}", SQL["no_commit_sessions"])
+
+
+def _stripped(c: str) -> str:
+    return rf"regexp_replace(coalesce({c}, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+def _safe_id(candidate: str, fallback: str) -> str:
+    return f"CASE WHEN regexp_full_match({_stripped(candidate)}, '[a-z0-9]+(-[a-z0-9]+)*') THEN left({_stripped(candidate)}, 80) ELSE {_slug(fallback)} END"
+
+
+def _merge(store: str, candidates: str, text: str, gate: str, made: str, result: str) -> str:
+    """A fold of candidates into a list of rows, as a recursion over candidates.
+
+    Every row of the list and candidate has id, its text and ``ch``, the characters of it. ``gate`` of row x and
+    candidate c says whether they may match; the most similar row from 0.45 on, the first of equals, is the match,
+    else the row of the candidate's id. ``made`` is the row in place of ``old`` (null if there is none); it goes to
+    the end.
+    """
+    score = f"list_transform(st, lambda x: CASE WHEN {gate} AND len(x.ch) > 0 AND len(c.ch) > 0 THEN len(list_intersect(x.ch, c.ch)) / (len(x.ch) + len(c.ch) - len(list_intersect(x.ch, c.ch))) ELSE -1.0 END)"
+    return f"""
+WITH RECURSIVE s AS ({store}), c0 AS ({candidates}), c AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM c0 WHERE {text} <> ''),
+f(n, st) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list(s ORDER BY s.id || '.md') FROM s)
+  UNION ALL
+  SELECT n, list_append(list_filter(st, lambda x, i: i <> coalesce(at_, 0)), made) FROM (
+    SELECT n, st, at_, {made} AS made FROM (
+      SELECT *, CASE WHEN at_ IS NOT NULL THEN st[at_] END AS old FROM (
+        SELECT *, CASE WHEN list_max(sc) >= 0.45 THEN list_position(sc, list_max(sc)) ELSE nullif(coalesce(list_position(list_transform(st, lambda x: x.id), id), 0), 0) END AS at_
+        FROM (SELECT f.st, c.*, {score} AS sc FROM f JOIN c ON c.n = f.n + 1)
+      )
+    )
+  )
+), r AS (SELECT unnest(st) AS x FROM f WHERE n = (SELECT count(*) FROM c))
+SELECT {result} FROM r
+"""
+
+
+_NEXT = "least(coalesce(old.confidence, 0.5::DOUBLE) + 0.05::DOUBLE, 0.9::DOUBLE)"
+_OF_BATCH_0 = "FROM {} WHERE batch_no = 0 AND id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id DESC) = 1"
+SQL["instinct_merge"] = _merge(
+    f"SELECT id, trigger, domain, confidence, hit_count, {_characters('trigger')} AS ch {_OF_BATCH_0.format('instincts')}",
+    f"SELECT row_id AS seq, {_safe_id('id', _stripped('trigger'))} AS id, {_stripped('trigger')} AS trigger, {_stripped('domain')} AS domain, {_characters(_stripped('trigger'))} AS ch FROM instincts WHERE batch_no > 0",
+    "trigger", f"c.domain <> '' AND c.domain = {_stripped('x.domain')}",
+    f"{{'id': coalesce(CASE WHEN old IS NOT NULL THEN old.id END, id), 'trigger': trigger, 'domain': CASE WHEN domain <> '' THEN domain WHEN old IS NOT NULL THEN coalesce(old.domain, '') ELSE '' END, 'confidence': CASE WHEN old IS NULL THEN 0.5::DOUBLE ELSE {_NEXT} END, 'hit_count': CASE WHEN old IS NULL THEN 1::INTEGER ELSE (coalesce(old.hit_count, 0) + 1)::INTEGER END, 'ch': ch}}",
+    "x.id AS id, x.trigger AS trigger, x.domain AS domain, x.confidence AS confidence, x.hit_count AS hit_count",
+)
+_KEYWORDS = r"list_filter(list_transform(coalesce(keywords, []), lambda k: lower(regexp_replace(coalesce(k, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))), lambda k: k <> '')"
+SQL["fact_merge"] = _merge(
+    f"SELECT id, type, description, created, {_KEYWORDS} AS kw, {_characters('description')} AS ch {_OF_BATCH_0.format('memories')}",
+    f"SELECT row_id AS seq, {_safe_id('id', _stripped('description'))} AS id, coalesce(nullif(type, ''), 'project') AS type, {_stripped('description')} AS description, {_KEYWORDS} AS kw, {_characters(_stripped('description'))} AS ch FROM memories WHERE batch_no > 0",
+    "description", "list_has_any(x.kw, c.kw)",
+    "{'id': coalesce(CASE WHEN old IS NOT NULL THEN old.id END, id), 'type': type, 'description': description, 'created': DATE '2031-06-01', 'kw': kw, 'ch': ch}",
+    "x.id AS id, x.type AS type, x.description AS description, x.created AS created",
+)
+_STATUS = "CASE WHEN old IS NULL OR old.status = 'deprecated' THEN 'candidate' ELSE coalesce(old.status, 'candidate') END"
+_MOVED = "CASE WHEN good THEN least(coalesce(CASE WHEN old IS NOT NULL THEN old.confidence END, 0.5::DOUBLE) + 0.05::DOUBLE, 0.9::DOUBLE) ELSE coalesce(CASE WHEN old IS NOT NULL THEN old.confidence END, 0.5::DOUBLE) - 0.05::DOUBLE END"
+_PROMOTED_NOW = f"({_STATUS}) <> 'promoted' AND ({_MOVED}) >= 0.7"
+SQL["procedure_merge"] = _merge(
+    f"SELECT id, trigger AS task_type, hit_count, confidence, CASE WHEN coalesce(deprecated, false) THEN 'deprecated' WHEN confidence >= 0.7 THEN 'promoted' ELSE 'candidate' END AS status, []::VARCHAR[] AS sessions, false AS promoted_now, {_characters('trigger')} AS ch {_OF_BATCH_0.format('instincts')}",
+    f"SELECT row_id AS seq, {_safe_id('id', _stripped('trigger'))} AS id, {_stripped('trigger')} AS task_type, domain AS session, coalesce(hit_count, 0) >= 2 AS good, {_characters(_stripped('trigger'))} AS ch FROM instincts WHERE batch_no > 0 AND id IS NOT NULL",
+    "task_type", "true",
+    f"{{'id': coalesce(CASE WHEN old IS NOT NULL THEN old.id END, id), 'task_type': task_type, 'hit_count': (coalesce(CASE WHEN old IS NOT NULL THEN old.hit_count END, 0) + 1)::INTEGER, 'confidence': {_MOVED}, 'status': CASE WHEN {_PROMOTED_NOW} THEN 'promoted' ELSE {_STATUS} END, 'sessions': CASE WHEN coalesce(session, '') = '' OR list_contains(coalesce(CASE WHEN old IS NOT NULL THEN old.sessions END, []), session) THEN coalesce(CASE WHEN old IS NOT NULL THEN old.sessions END, []) ELSE list_append(coalesce(CASE WHEN old IS NOT NULL THEN old.sessions END, []), session) END, 'promoted_now': ({_PROMOTED_NOW}) OR coalesce(CASE WHEN old IS NOT NULL THEN old.promoted_now END, false), 'ch': ch}}",
+    "x.id AS id, x.task_type AS task_type, x.hit_count AS hit_count, round(x.confidence, 9) AS confidence, x.status AS status, false AS skill_asked, array_to_string(x.sessions, ',') AS sessions, x.promoted_now AS promoted_now",
+)
