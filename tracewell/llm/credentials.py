@@ -616,6 +616,9 @@ def redact(df: DataFrame, columns: tuple[str, ...] = ("tool_input_json", "tool_r
         texts = [v if isinstance(v, str) else None for v in values]
         return pd.Series([t if not places else mask_places(t, places) for t, places in zip(texts, find_places(model.value, texts), strict=True)])
 
-    return df.withColumns({c: F.when(may_have_credentials(F.col(c)), masked(c)).otherwise(F.col(c)) for c in columns})
+    # a Python function runs on every row, whatever condition stands around it: fields without a cue go in as null
+    shown = df.withColumns({f"_cue_{c}": may_have_credentials(F.col(c)) for c in columns})
+    done = shown.withColumns({c: F.when(F.col(f"_cue_{c}"), masked(F.when(F.col(f"_cue_{c}"), F.col(c)))).otherwise(F.col(c)) for c in columns})
+    return done.drop(*[f"_cue_{c}" for c in columns])
 
 
