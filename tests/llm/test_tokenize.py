@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tracewell.llm.tokenize import DEFAULT_VOCABULARY, WordContractor, encode_corpus
+from tracewell.llm.tokenize import DEFAULT_VOCABULARY, WordContractor, decode_corpus, encode_corpus
 
 pytestmark = pytest.mark.skipif(not os.path.exists(DEFAULT_VOCABULARY), reason="no vocabulary here")
 CONTRACTOR = []
@@ -41,3 +41,12 @@ def test_rows(spark):
     got = sorted(((r["doc_id"], list(r["ids"])) for r in encode_corpus(spark.createDataFrame(rows, "doc_id long, text string, ids string")).collect()), key=repr)
     assert got == sorted([(i, theirs([t])[0] if t else []) for i, t, _ in rows], key=repr)
     assert encode_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_round_trip(spark):
+    texts = ["hello world", "日本語 it's\r\n\t 12345 ", "😀🏽 é e\u0301", " " * 300, "", None, "a" * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    back = {r["doc_id"]: r["text"] for r in decode_corpus(encode_corpus(df)).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
+    empty = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert [r["text"] for r in decode_corpus(empty).collect()] == [""] and decode_corpus(empty.limit(0)).count() == 0

@@ -13,7 +13,7 @@ from .history import instinct_vectors, memory_vectors, restated_rows
 from .packing import pack, token_counts, window_report
 from .sequences import frequent_sequences
 from .subjects import document_subjects
-from .tokenize import encode_corpus
+from .tokenize import decode_corpus, encode_corpus
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +69,21 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
+def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents there are, and how many are equal to the text decoded from their ids."""
+    documents = table(spark, folder, "documents")
+    back = decode_corpus(encode_corpus(documents)).select("doc_id", F.col("text").alias("decoded"))
+    same = big_join(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), back, "doc_id")
+    return same.agg(F.count("*").alias("documents"), F.count_if(F.col("text") == F.col("decoded")).alias("equal"))
+
+
+def p4_intact(spark: SparkSession, folder: str) -> DataFrame:
+    """What masking must leave as it is: the number of rows, of inputs that are JSON, and of nulls."""
+    masked = p4_masked(spark, folder)
+    is_json = F.try_parse_json("tool_input_json").isNotNull()
+    return masked.agg(F.count("*").alias("rows"), F.count_if(is_json).alias("json_inputs"), F.count_if(F.col("tool_input_json").isNull()).alias("no_input"), F.count_if(F.col("tool_response_summary").isNull()).alias("no_summary"))
+
+
 def _capacities(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     return [(r["window_name"], r["capacity_tokens"]) for r in table(spark, folder, "token_windows").collect()]
 
@@ -99,8 +114,10 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return document_subjects(documents).groupBy("subject").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / F.lit(max(total, 1)))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clocks": p2_clocks, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p8_valid": p8_valid, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clocks": p2_clocks, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_masked": p4_masked, "p4_intact": p4_intact, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_windows": p8_windows, "p8_valid": p8_valid, "p9_found": p9_found, "p9_composition": p9_composition}
 SQL: dict[str, str] = {
+    "p4_intact": "SELECT count(*) AS rows, count_if(tool_input_json <> '' AND json_valid(tool_input_json)) AS json_inputs, count_if(tool_input_json IS NULL) AS no_input, count_if(tool_response_summary IS NULL) AS no_summary FROM observations",
+    "p7_roundtrip": "SELECT count(*) AS documents, count(*) AS equal FROM documents",
     "p8_valid": "SELECT window_name, (SELECT count(*) FROM documents) AS documents, 0 AS over, 0 AS cut_needlessly, 0 AS torn FROM token_windows",
     "p1_found": r"""
 WITH m AS (

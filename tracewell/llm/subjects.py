@@ -61,6 +61,11 @@ INSPECTED = {
 SUBJECTS = tuple(INSPECTED)
 _BROKEN = re.compile(r"[-­¬=‐‑■]\s*\n\s*")
 _WORD = re.compile(r"[^\W\d_]+")
+_LANGUAGES_OF_TERM: dict[str, list[str]] = {}
+for _by_language in INSPECTED.values():
+    for _language, _terms in _by_language.items():
+        for _term in _terms.split():
+            _LANGUAGES_OF_TERM.setdefault(_term, []).append(_language)
 _LANGUAGE_OF = {w: lang for lang, words in FUNCTION_WORDS.items() for w in words.split()}
 #: Copies of one text are joined to its subjects in this many parts.
 SALTS = 16
@@ -78,7 +83,7 @@ def digamma(x: np.ndarray) -> np.ndarray:
 
 
 def bag_of_words(text: str | None) -> tuple[str | None, Counter]:
-    """(language, words with counts) of a whole text; no language if none of its function words occurs."""
+    """(language, words with counts) of a whole text; by function words, else by inspected terms; no language if it has neither."""
     if not text:
         return None, Counter()
     words = Counter(_WORD.findall(unicodedata.normalize("NFKC", _BROKEN.sub("", text.replace("\r\n", "\n"))).lower()))
@@ -86,6 +91,10 @@ def bag_of_words(text: str | None) -> tuple[str | None, Counter]:
     for w, lang in _LANGUAGE_OF.items():
         if w in words:
             votes[lang] += words[w]
+    if not votes:  # a short text, or a list of names: its inspected terms tell
+        for w in words:
+            for lang in _LANGUAGES_OF_TERM.get(w, ()):
+                votes[lang] += words[w]
     return (max(sorted(votes), key=votes.__getitem__) if votes else None), words
 
 

@@ -101,7 +101,10 @@ class WordContractor:
         self.byte_ids = [ids[s] for s in _byte_symbols()]
         self.long_word_bytes, self.slice_bytes, self.remembered = long_word_bytes, slice_bytes, remembered
         self.db = duckdb.connect(config={"threads": "1", "memory_limit": f"{memory_mb}MB"})
-        arrow = pa.table({"l": pa.array([ids[a] for a, _ in merges], pa.int64()), "r": pa.array([ids[b] for _, b in merges], pa.int64()), "merged": pa.array([ids[a + b] for a, b in merges], pa.int64())})
+        ranked = [ids[a + b] for a, b in merges]
+        if any(a >= b for a, b in zip(ranked, ranked[1:], strict=False)):
+            raise ValueError("ids of merged tokens must rise with the rank of the merge, as rank and token are one number here")
+        arrow = pa.table({"l": pa.array([ids[a] for a, _ in merges], pa.int64()), "r": pa.array([ids[b] for _, b in merges], pa.int64()), "merged": pa.array(ranked, pa.int64())})
         self.db.register("merges_arrow", arrow)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_arrow")
         self.ids_of: dict[str, list[int]] = {}
@@ -161,3 +164,38 @@ def encode_corpus(df: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     schema = T.StructType([T.StructField(id_column, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return df.select(id_column, text_column).mapInArrow(encode, schema)
+
+
+def decode_corpus(df: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", vocabulary: str = DEFAULT_VOCABULARY, rows_at_once: int = 1000) -> DataFrame:
+    """``(id_column, text)``: the text whose tokens ``ids_column`` lists; null and empty lists give an empty text.
+
+    Token-position rows join the vocabulary, and an ordered aggregation puts the stand-ins of the bytes together.
+    """
+    kind = df.schema[id_column].dataType
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        with open(vocabulary, encoding="utf-8") as f:
+            symbols = {i: s for s, i in json.load(f)["model"]["vocab"].items()}
+        byte_of = {s: b for b, s in enumerate(_byte_symbols())}
+        db = duckdb.connect(config={"threads": "1"})
+        arrow = pa.table({"tok": pa.array(list(symbols), pa.int32()), "symbol": pa.array(list(symbols.values()))})
+        db.register("symbols_arrow", arrow)
+        db.execute("CREATE TABLE symbols AS SELECT * FROM symbols_arrow")
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                lists = part.column(1).to_pylist()
+                rows = [(i, p, t) for i, ids in enumerate(lists) for p, t in enumerate(ids or ())]
+                texts = [""] * len(lists)
+                if rows:
+                    doc, pos, tok = zip(*rows, strict=True)
+                    db.register("placed", pa.table({"doc": pa.array(doc, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())}))
+                    for i, written in db.execute("SELECT doc, string_agg(symbol, '' ORDER BY pos) FROM placed JOIN symbols USING (tok) GROUP BY doc").fetchall():
+                        texts[i] = bytes(byte_of[c] for c in written).decode("utf-8", "replace")
+                    db.unregister("placed")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[id_column, "text"])
+
+    schema = T.StructType([T.StructField(id_column, kind), T.StructField("text", T.StringType())])
+    return df.select(id_column, ids_column).mapInArrow(decode, schema)
