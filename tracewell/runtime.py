@@ -31,9 +31,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tracewell/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one intermediate table in the shared folder."""
-    return f"{shared_folder(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one intermediate table of this application in the shared folder."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that were not written elsewhere are gone with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
