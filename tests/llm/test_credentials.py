@@ -149,3 +149,17 @@ def test_gates_let_every_issuer_and_layout_pass(spark):
 def test_cut_json_stays_json():
     assert segments('{"a": "x", "b": [1, tru') == [("a", "x")] and segments('[1.5e-3, "y", null, "cut') == [("", "y"), ("", "cut")]
     assert segments('[s]\nk = "v"') == [("", '[s]\nk = "v"')]
+
+
+def test_weights_are_kept(spark, monkeypatch):
+    from tracewell.llm import credentials
+
+    monkeypatch.setattr(credentials, "_TRAINED", {})
+    first = credentials.shared_tagger(spark, 150, seed=77)
+    monkeypatch.setattr(credentials, "_TRAINED", {})
+    monkeypatch.setattr(credentials, "tagger", None)  # must not be trained again
+    again = credentials.shared_tagger(spark, 150, seed=77)
+    assert again is not first and again.vocabulary == first.vocabulary
+    assert all((a == b).all() for a, b in ((again.emit, first.emit), (again.move, first.move), (again.begin, first.begin)))
+    lines = [x for x, _ in training_lines(100, seed=5)]
+    assert again.spans(lines) == first.spans(lines)

@@ -6,7 +6,7 @@ block is one lexeme, else lexemes are words between delimiters, the delimiters t
 linear-chain conditional random field labels the lexemes of a line (outside, begin, inside) from their
 shape and context; the spans of the best path (Viterbi) are the credentials, character by character.
 
-The model is trained on the driver, once a session, from labelled lines of a grammar (``training_lines``:
+The model is trained on the driver and kept in the shared folder, from labelled lines of a grammar (``training_lines``:
 formats of credentials, look-alikes, and plain code, over random names and values), by full-batch gradient
 ascent on the regularised likelihood. The number of lines is a parameter; nothing depends on the table.
 
@@ -24,6 +24,7 @@ repeated ids are kept as they are; cut fields are read to their end; texts of an
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import re
@@ -33,10 +34,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import shared_folder
+
 MASK = "***REDACTED***"
 LABELS = ("outside", "begin", "inside")
 #: Words that announce a credential, or something that merely looks like one, by kind.
@@ -471,6 +474,27 @@ def tagger(count: int = 5000, seed: int = 11) -> Tagger:
     return _TRAINED[count, seed]
 
 
+def shared_tagger(spark: SparkSession, count: int = 5000, seed: int = 11) -> Tagger:
+    """The trained model, kept as a table in the shared folder under a hash of this module and the parameters, so that later sessions only read it."""
+    if (count, seed) in _TRAINED:
+        return _TRAINED[count, seed]
+    with open(__file__, "rb") as f:
+        mark = hashlib.md5(f.read() + repr((count, seed)).encode()).hexdigest()
+    path = f"{shared_folder(spark)}/tracewell/models/crf-{mark}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        rows = sorted(spark.read.parquet(path).collect(), key=lambda r: (r["part"], r["n"]))
+        weights = {part: np.array([r["w"] for r in rows if r["part"] == part]) for part in ("begin", "emit", "move")}
+        vocabulary = {r["name"]: r["n"] for r in rows if r["part"] == "emit"}
+        _TRAINED[count, seed] = Tagger(vocabulary, weights["emit"], weights["move"], weights["begin"][0])
+        return _TRAINED[count, seed]
+    model = tagger(count, seed)
+    names = {i: name for name, i in model.vocabulary.items()}
+    rows = [("emit", i, names[i], w) for i, w in enumerate(model.emit.tolist())] + [("move", i, "", w) for i, w in enumerate(model.move.tolist())] + [("begin", 0, "", model.begin.tolist())]
+    spark.createDataFrame(rows, "part string, n int, name string, w array<double>").coalesce(1).write.mode("ignore").parquet(path)
+    return model
+
+
 class _Line:
     """A line as the model sees it and where it comes from: ``prefix`` characters of context, then text from ``offset`` on."""
 
@@ -576,7 +600,7 @@ def _apart(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def find_credentials(df: DataFrame, id_column: str = "id", columns: tuple[str, ...] = ("tool_input_json", "tool_response_summary"), training: int = 5000) -> DataFrame:
     """(id_column, field, secret) of every credential in the named columns."""
-    model = df.sparkSession.sparkContext.broadcast(tagger(training))
+    model = df.sparkSession.sparkContext.broadcast(shared_tagger(df.sparkSession, training))
     schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("field", T.StringType()), T.StructField("secret", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -607,7 +631,7 @@ def mask_places(field: str, places: list[tuple[int, int]], mask: str = MASK) ->
 
 def redact(df: DataFrame, columns: tuple[str, ...] = ("tool_input_json", "tool_response_summary"), training: int = 5000) -> DataFrame:
     """``df`` with the credentials in the named columns masked; all other characters stay."""
-    model = df.sparkSession.sparkContext.broadcast(tagger(training))
+    model = df.sparkSession.sparkContext.broadcast(shared_tagger(df.sparkSession, training))
 
     @F.pandas_udf("string")
     def masked(values):  # noqa: ANN001, ANN202
